@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: space and tab to carriage return.
@@ -55,3 +55,26 @@ def words_of(text: Column) -> Column:
     """Words of a text: maximal runs of anything but ASCII white space."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Add ``name``: the row's place, from 0, among the rows of its key in the
+    given order.
+
+    Rows are dealt by ranges of (key, order), so a key with any share of the
+    rows spreads over many tasks. Each range counts its own rows; only one count
+    per range and key is summed up. The sorted ranges are a written table, so
+    that places stay the same when a task is run again.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(parts or partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    # A part holds few keys, so this join has no large group on either side.
+    s = starts.select(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), "__first", "__before")
+    on = ranged["__part"] == s["__p"]
+    for i, k in enumerate(keys):
+        on = on & ranged[k].eqNullSafe(s[f"__key{i}"])
+    return ranged.join(s, on, "inner").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).select(*df.columns, name)

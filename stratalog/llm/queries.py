@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import quality_rules
+from stratalog.llm import quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -58,8 +58,13 @@ FROM r
 """
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, read back from the written files."""
+    return token_files.round_trip(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {"op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
