@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import quality_rules, token_files
+from stratalog.llm import packing, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -58,13 +58,23 @@ FROM r
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece, with its sequence and offset."""
+    packed = packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, read back from the written files."""
     return token_files.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+    return {
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
