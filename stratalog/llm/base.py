@@ -57,17 +57,18 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int | None = None) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, keep_part: bool = False) -> DataFrame:
     """Add ``name``: the row's place, from 0, among the rows of its key in the
     given order.
 
     Rows are dealt by ranges of (key, order), so a key with any share of the
     rows spreads over many tasks. Each range counts its own rows; only one count
     per range and key is summed up. The sorted ranges are a written table, so
-    that places stay the same when a task is run again.
+    that places stay the same when a task is run again. ``keep_part`` keeps the
+    range's number as ``__part``.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(parts or partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = df.repartitionByRange(partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
     ranged = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     counts = ranged.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,4 +78,4 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, p
     on = ranged["__part"] == s["__p"]
     for i, k in enumerate(keys):
         on = on & ranged[k].eqNullSafe(s[f"__key{i}"])
-    return ranged.join(s, on, "inner").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).select(*df.columns, name)
+    return ranged.join(s, on, "inner").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).select(*df.columns, name, *["__part"] * keep_part)

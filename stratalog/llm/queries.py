@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import packing, quality_rules, token_files
+from stratalog.llm import fingerprints, mixing, packing, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -58,6 +58,16 @@ FROM r
 """
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its block and slot; (slot, place) is the mixed order."""
+    return mixing.schedule(documents(spark, sf_dir, "doc_id", "source", "text"))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: fingerprints of its text and its edited text."""
+    return fingerprints.with_edits(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece, with its sequence and offset."""
     packed = packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"))
@@ -71,6 +81,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_fingerprints": op2_fingerprints,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
         "op10_token_files": op10_token_files,
