@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import fingerprints, mixing, packing, quality_rules, token_files
+from stratalog.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its set's size and its component."""
+    return jaccard_join.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, read back from the written files."""
     return token_files.round_trip(documents(spark, sf_dir, "doc_id", "text"))
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_token_files": op10_token_files,
     }
 
