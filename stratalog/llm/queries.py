@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, token_files
+from stratalog.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many lines and words went, and the text left."""
+    done = line_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), report=True)
+    return done.select("doc_id", "n_lines", "n_deleted", "deleted_words", "text")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the contract's measurements, its base verdict, the
     ledger's mask and policy v1's verdict."""
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_fingerprints": op2_fingerprints,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_token_files": op10_token_files,
