@@ -12,12 +12,14 @@ Documents are sets of word 5-grams (64-bit hashes); two link when
 2. Groups: classes with the same minimum hash (of two orders) are compared with
    the least of them, and the components of those links are the groups of
    similar documents.
-3. Matrix: each group's token union, as (token, group) rows. A class whose
-   tokens that other groups hold are fewer than three quarters of it can't link
-   outside its group. For the others, the rarest tokens of which a linked group
-   must hold one give (query, group) candidates; the overlap with the group's
-   union bounds the overlap with each member; only groups that reach three
-   quarters of the query are opened and their members compared exactly.
+3. Matrix: sets of about one size are dealt to blocks of similar ones, those of a
+   large component to its own. A token-group matrix holds which blocks hold a
+   token. A set whose tokens held by other components' sets of a size class are
+   fewer than any link with that class needs is done. For the others, the rarest
+   tokens of which a linked set must hold one give (query, block) candidates; the
+   overlap with the block's token union bounds the overlap with each member, and
+   only qualifying blocks are opened and their members compared exactly. Of two
+   components the members of the smaller one are the queries.
 4. Components of all links found. Copies and near copies are never expanded
    into pairs; no partner or candidate is capped.
 
@@ -44,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, partitions
+from stratalog.llm.base import cut, drop_table, number_within, partitions
 from stratalog.llm.components import components
 
 WORDS = 5
@@ -53,6 +55,9 @@ LIKE = (100, 75)
 #: Entries of packed arrays that a map task holds, and that a bucket's task gets.
 FLUSH_ENTRIES, SALT_ENTRIES = 2_000_000, 2_000_000
 
+#: Ratio of the sizes of a class; members of a block.
+CLASS_RATIO, BLOCK = 1.1, 256
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Other orders of hashes: multiplication by an odd number.
 _ORDERS = np.array([1, 0xE7037ED1A0B428DB], np.uint64)
@@ -191,7 +196,6 @@ def _shared(blobs: DataFrame) -> DataFrame:
 
 def _hits(blobs: DataFrame, shared: DataFrame) -> DataFrame:
     """(part, idx, hits): each document's keys that are shared."""
-    spark = blobs.sparkSession
     salts = {r["bucket"]: -(-r["entries"] // SALT_ENTRIES) for r in shared.select("bucket", "entries").collect()}
     table = F.create_map(*(F.lit(x) for b, s in salts.items() if s > 1 for x in (b, int(s)))) if any(s > 1 for s in salts.values()) else None
     n_salts = F.coalesce(F.try_element_at(table, F.col("bucket")), F.lit(1)) if table is not None else F.lit(1)
@@ -200,22 +204,23 @@ def _hits(blobs: DataFrame, shared: DataFrame) -> DataFrame:
 
     def count(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         both = np.frombuffer(theirs["shared"][0].as_py(), "<u4") if theirs.num_rows else np.zeros(0, "<u4")
-        parts, rows, hits = [], [], []
+        parts, found = [], []
         for part, keys, idx in zip(mine["part"].to_pylist(), mine["keys"], mine["rows"]):
             keys, idx = np.frombuffer(keys.as_py(), "<u4"), np.frombuffer(idx.as_py(), "<u4")
             if len(both):
                 at = np.searchsorted(both, keys)
                 at[at == len(both)] = 0
-                found, n = np.unique(idx[both[at] == keys], return_counts=True)
-                parts.append(np.full(len(found), part, np.int64))
-                rows.append(found.astype(np.int32))
-                hits.append(n.astype(np.int64))
-        whole = lambda xs, t: pa.array(np.concatenate(xs) if xs else [], t)
-        return pa.table({"part": whole(parts, pa.int64()), "idx": whole(rows, pa.int32()), "hits": whole(hits, pa.int64())})
+                parts.append(part)
+                found.append(idx[both[at] == keys].tobytes())
+        return pa.table({"part": pa.array(parts, pa.int64()), "found": pa.array(found, pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        idx, n = np.unique(np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["found"]]), return_counts=True)
+        return pa.table({"part": pa.array(np.full(len(idx), table["part"][0].as_py(), np.int64)), "idx": pa.array(idx.astype(np.int32)), "hits": pa.array(n.astype(np.int64))})
 
-    del spark
-    found = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(count, "part long, idx int, hits long")
-    return found.groupBy("part", "idx").agg(F.sum("hits").alias("hits"))
+    found = left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(count, "part long, found binary")
+    # A part's idx are those of one map task's documents, so this group is bounded.
+    return found.groupBy("part").applyInArrow(total, "part long, idx int, hits long")
 
 
 def _needed(n, whole: bool):
@@ -245,7 +250,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links among similar sets, (id, g) for every set)."""
+    """(links among similar sets, (id, g, lead) for every set): g is the
+    component by those links, lead the least id with the same minimum hash."""
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,63 +262,111 @@ def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     keys = cut(sets.select("id", "tokens").mapInArrow(minima, "id long, k int, least long"))
     heads = keys.groupBy("k", "least").agg(F.min("id").alias("a"))
-    pairs = keys.join(heads, ["k", "least"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = cut(_verified(pairs, sets))
-    named = components(links)
-    groups = sets.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("g"))
-    return links, groups
+    headed = cut(keys.join(heads, ["k", "least"]).select("id", "a"))
+    links = cut(_verified(headed.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets))
+    leads = headed.groupBy("id").agg(F.min("a").alias("lead"))
+    named = leads.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("g"), "lead")
+    return links, cut(named)
+
+
+def _described(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """id, n, tokens with ord (the component's number, the largest first), c (size
+    class) and block (of at most about BLOCK similar sets of one class)."""
+    components_ = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"), (-F.count(F.lit(1))).alias("__less"))
+    numbered = number_within(components_, [], ["__less", "g"], "ord").select("g", "ord", "members")
+    c = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(CLASS_RATIO)))).cast("int")
+    label = F.when(F.col("members") >= BLOCK // 4, -1 - F.col("ord")).otherwise(F.col("lead"))
+    rows = cut(groups.join(numbered, "g").join(sets.select("id", "n"), "id").select("id", "ord", c.alias("c"), label.alias("label")))
+    counted = rows.groupBy("label", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
+    salt = F.pmod(F.xxhash64("id"), F.col("salts"))
+    blocks = rows.join(counted, ["label", "c"]).select("id", "ord", "c", F.xxhash64("label", "c", salt).alias("block"))
+    return cut(sets.join(blocks, "id").select("id", "n", "ord", "c", "block", "tokens"))
+
+
+def class_floor(c: int) -> int:
+    """A size that no set of class ``c`` is below."""
+    return max(1, int(CLASS_RATIO ** c * (1 - 1e-9)))
+
+
+def _bound(n, least):
+    """Least overlap of linked sets of sizes n and at least ``least`` (columns)."""
+    return F.expr(f"({LIKE[1]} * ({n} + {least}) + {sum(LIKE) - 1}) div {sum(LIKE)}")
 
 
 def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links between different groups, by the token-group matrix."""
+    """Links between different components, by the token-group matrix. Each is
+    looked for from the smaller component's side (the larger ord)."""
+    spark = sets.sparkSession
+    described = _described(sets, groups)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "ord", "c", "block"]
         for batch in batches:
-            tokens = [_sets(x.as_py()) for x in batch.column(2)]
+            tokens = [_sets(x.as_py()) for x in batch.column(5)]
             n = np.array([len(t) for t in tokens])
-            ids, gs = (np.repeat(np.array(batch.column(i).to_pylist(), np.int64), n) for i in (0, 1))
             whole = (np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).view(np.int64)
+            columns = [np.repeat(batch.column(i).to_numpy(), n) for i in range(5)]
             for a in range(0, len(whole), 100_000):
-                b = a + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(gs[a:b]), pa.array(np.repeat(n, n)[a:b]), pa.array(whole[a:b])], ["id", "g", "n", "token"])
-
-    grouped = sets.join(groups, "id").select("id", "g", "tokens")
-    queries = cut(grouped.mapInArrow(rows, "id long, g long, n long, token long"))
-    matrix = queries.select("token", "g").distinct()
-    held = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("gf")).where("gf > 1")
-    # Tokens that other groups hold; a query with too few of them is done.
-    abroad = cut(queries.join(held, "token").select("id", "g", "n", "token", "gf"))
-    counts = abroad.groupBy("id", "n").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= _needed("n", True)).select("id", "hits")
-    left = abroad.join(counts, "id")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("gf", "token"))
-    # Of any n - least_overlap + 1 tokens a linked set holds one; those that no
-    # other group holds count among them.
-    spare = F.col("hits") - _needed("n", True) + 1
-    rare = left.withColumn("nth", nth).where(F.col("nth") <= spare).select("id", "g", "token")
-    shared = abroad.select("token", "g").distinct().withColumnRenamed("g", "other")
-    candidates = cut(rare.join(shared, "token").where("g <> other").select("id", "other").distinct())
-
-    def union(table: pa.Table) -> pa.Table:
-        whole = np.unique(np.concatenate([_sets(x.as_py()) for x in table["tokens"]]))
-        return pa.table({"other": pa.array([table["g"][0].as_py()], pa.int64()), "tokens": pa.array([whole.astype("<u8").tobytes()], pa.binary())})
-
-    # A group's union is built from its parts', so that no task holds a large group.
-    asked = grouped.join(candidates.select(F.col("other").alias("g")).distinct(), "g", "left_semi")
-    salted = asked.select("g", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"), "tokens")
-    parts = salted.groupBy("g", "salt").applyInArrow(union, "other long, tokens binary").withColumnRenamed("other", "g")
-    unions = parts.groupBy("g").applyInArrow(union, "other long, tokens binary")
-
-    def qualify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [overlap(q, _sets(y.as_py())) >= least_overlap(len(q)) for q, y in ((_sets(x.as_py()), y) for x, y in zip(batch.column(2), batch.column(3)))]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    bounded = candidates.join(sets.select("id", "tokens"), "id").join(unions.withColumnRenamed("tokens", "union"), "other")
-    opened = cut(bounded.select("id", "other", "tokens", "union").mapInArrow(qualify, "id long, other long").distinct())
-    sizes = sets.select("id", "n")
-    members = groups.join(sizes, "id").select(F.col("g").alias("other"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = opened.join(sizes, "id").join(members, "other").where(f"{LIKE[0]} * least(n, nb) >= {LIKE[1]} * greatest(n, nb)")
-    return _verified(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), sets)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 100_000]) for x in columns), pa.array(whole[a : a + 100_000])], [*names, "token"])
+
+    entries = described.mapInArrow(rows, "id long, n long, ord long, c int, block long, token long")
+    # How many sets of a size class hold a token, and the largest component that does.
+    held = entries.groupBy("token", F.col("c").alias("hc")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("holders"))
+    floors = F.create_map(*(F.lit(x) for c in range(_classes_of(described)) for x in (c, class_floor(c))))
+    least = F.greatest(F.try_element_at(floors, F.col("hc")).cast("long"), F.expr(f"({LIKE[1]} * n + {LIKE[0] - 1}) div {LIKE[0]}"))
+    top = F.try_element_at(floors, F.col("hc")) * LIKE[1] <= F.col("n") * LIKE[0]
+    near = F.col("hc") >= F.col("c") - int(np.ceil(np.log(LIKE[0] / LIKE[1]) / np.log(CLASS_RATIO))) - 1
+    abroad = cut(entries.select("id", "n", "ord", "c", "token").join(held, "token").where(top & near & (F.col("first") < F.col("ord"))).withColumn("least", least).select("id", "n", "ord", "hc", "least", "token", "holders"))
+    counts = abroad.groupBy("id", "hc").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"), F.first("least").alias("least")).withColumn("need", _bound("n", "least"))
+    passed = counts.where("hits >= need").select("id", "hc", (F.col("hits") - F.col("need") + 1).alias("spare"))
+    # Of any n - need + 1 tokens a linked set holds one; those that no set of the
+    # class holds count among them, so the rarest `spare` others do.
+    nth = F.row_number().over(Window.partitionBy("id", "hc").orderBy("holders", "token"))
+    rare = cut(abroad.join(passed, ["id", "hc"]).withColumn("nth", nth).where("nth <= spare").select("id", "ord", "hc", "token"))
+    wanted = rare.select("token", F.col("hc").alias("c")).distinct()
+    matrix = entries.select("token", "c", "block", "ord").join(wanted, ["token", "c"], "left_semi").groupBy("token", "c", "block").agg(F.min("ord").alias("first"))
+    asked = rare.join(matrix.withColumnRenamed("c", "hc"), ["token", "hc"]).where(F.col("first") < F.col("ord")).select("id", "block").distinct()
+    pairs = cut(asked)
+    bucket = F.pmod(F.col("block"), F.lit(4 * partitions(spark))).cast("int")
+    queries = pairs.join(described.select("id", "ord", "tokens"), "id").select(bucket.alias("bucket"), "block", "id", "ord", "tokens")
+    members = described.join(pairs.select("block").distinct(), "block", "left_semi").select(bucket.alias("m_bucket"), *(F.col(x).alias(f"m_{x}") for x in ("block", "id", "ord", "tokens")))
+
+    def opened(q: pa.Table, m: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        of: dict[int, list] = {}
+        for block, key, ord_, tokens in zip(*(m[x].to_pylist() for x in ("m_block", "m_id", "m_ord", "m_tokens"))):
+            of.setdefault(block, []).append((key, ord_, _sets(tokens)))
+        ask: dict[int, list] = {}
+        for block, key, ord_, tokens in zip(*(q[x].to_pylist() for x in ("block", "id", "ord", "tokens"))):
+            ask.setdefault(block, []).append((key, ord_, _sets(tokens)))
+        for block, queries in ask.items():
+            sets_ = of.get(block, [])
+            if not sets_:
+                continue
+            keys, ords, sizes = (np.array(x) for x in ([k for k, _, _ in sets_], [o for _, o, _ in sets_], [len(t) for _, _, t in sets_]))
+            whole = np.concatenate([t for _, _, t in sets_])
+            order = np.argsort(whole, kind="stable")
+            tokens, holder = whole[order], np.repeat(np.arange(len(sets_)), sizes)[order]
+            for key, ord_, t in queries:
+                a, b = np.searchsorted(tokens, t), np.searchsorted(tokens, t, side="right")
+                # The bound: tokens that any member holds.
+                if sum(LIKE) * int((b > a).sum()) < LIKE[1] * (len(t) + int(sizes.min())):
+                    continue
+                n = b - a
+                at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                both = np.bincount(holder[at], minlength=len(sets_))
+                good = (LIKE[0] * both >= LIKE[1] * (len(t) + sizes - both)) & (ords < ord_)
+                # One link into each component joins it.
+                for k in np.unique(ords[good], return_index=True)[1]:
+                    found.append((int(keys[good][k]), key))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return cut(queries.groupBy("bucket").cogroup(members.groupBy("m_bucket")).applyInArrow(opened, "a long, b long"))
+
+
+def _classes_of(described: DataFrame) -> int:
+    """One more than the largest size class: a logarithm of the largest set."""
+    return int(described.agg(F.max("c")).first()[0] or 0) + 1
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
