@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import fingerprints, jaccard_join, line_dedup, lm_scores, mixing, packing, quality_rules, token_files
+from stratalog.llm import fingerprints, jaccard_join, line_dedup, lm_scores, mixing, packing, pii, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: base counts and digest, and all spans."""
+    return pii.find(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece, with its sequence and offset."""
     packed = packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"))
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_fingerprints": op2_fingerprints,
         "op4_lm_scores": op4_lm_scores,
+        "op5_pii": op5_pii,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
