@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import fingerprints, jaccard_join, line_dedup, lm_scores, mixing, packing, pii, quality_rules, token_files
+from stratalog.llm import fingerprints, jaccard_join, licenses, line_dedup, lm_scores, mixing, packing, pii, quality_rules, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per licence wording found, with its place and differences."""
+    return licenses.scan_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: base and model log10 probability of its text."""
     return lm_scores.score(documents(spark, sf_dir, "doc_id", "text"))
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_fingerprints": op2_fingerprints,
+        "op3_licenses": op3_licenses,
         "op4_lm_scores": op4_lm_scores,
         "op5_pii": op5_pii,
         "op6_best_fit_packing": op6_best_fit_packing,
