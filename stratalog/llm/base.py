@@ -2,80 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from stratalog.tables import cut, drop_table, number_within, partitions, scratch
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "cut", "drop_table", "number_within", "partitions", "scratch"]
 
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir.
-
-    The session names the shared folder; only where it is unset (tests) is a
-    local one made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: later stages recompute from the written table if an
-    executor is lost, and nothing depends on one machine's disk.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files under a table that cut() wrote, once nothing reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def words_of(text: Column) -> Column:
-    """Words of a text: maximal runs of anything but ASCII white space."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
-
-
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, keep_part: bool = False) -> DataFrame:
-    """Add ``name``: the row's place, from 0, among the rows of its key in the
-    given order.
-
-    Rows are dealt by ranges of (key, order), so a key with any share of the
-    rows spreads over many tasks. Each range counts its own rows; only one count
-    per range and key is summed up. The sorted ranges are a written table, so
-    that places stay the same when a task is run again. ``keep_part`` keeps the
-    range's number as ``__part``.
-    """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
-    ranged = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
-    counts = ranged.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    # A part holds few keys, so this join has no large group on either side.
-    s = starts.select(*(F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), "__first", "__before")
-    on = ranged["__part"] == s["__p"]
-    for i, k in enumerate(keys):
-        on = on & ranged[k].eqNullSafe(s[f"__key{i}"])
-    return ranged.join(s, on, "inner").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).select(*df.columns, name, *["__part"] * keep_part)
