@@ -30,7 +30,8 @@ def delete(log: DataFrame, seq: int, key) -> DataFrame:
 
 
 def _append(log: DataFrame, seq: int, key, value, gone: bool) -> DataFrame:
-    row = log.sparkSession.createDataFrame([(seq, key, value, gone, None)], log.select("seq", "key", "value", "is_tombstone", "run_id").schema)
+    kinds = ", ".join(f"{n} {log.schema[n].dataType.simpleString()}" for n in ("seq", "key", "value", "is_tombstone", "run_id"))
+    row = log.sparkSession.createDataFrame([(seq, key, value, gone, None)], kinds)
     return log.unionByName(row)
 
 

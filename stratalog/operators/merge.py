@@ -25,7 +25,7 @@ def kway_merge(runs: list[DataFrame] | DataFrame, descending: bool = False) -> D
 
 def dedupe(entries: DataFrame, precedence: list[Column] | None = None, within: list[str] | None = None) -> DataFrame:
     """One entry per key: the first by ``precedence`` (the newest by default)."""
-    return newest(entries, [*(within or []), "key"], precedence or [F.desc("run_id"), F.desc("seq")])
+    return newest(entries, [*(within or []), "key"], precedence or [F.desc("seq")])
 
 
 class Strategy(Protocol):
