@@ -48,8 +48,8 @@ SMOOTH = 0.1
 #: Classes of the model (the rest's and the end's included) and its dimensions.
 CLASSES, DIMENSIONS = 4096, 16
 #: Words whose counts are broadcast.
-HEAD = 300_000
-FLUSH_WORDS = 1_000_000
+HEAD = 200_000
+FLUSH_WORDS = 500_000
 #: Training: tokens of a batch, noise words of a batch, rate, start's seed.
 BATCH, NOISE, RATE, SEED = 4_096, 192, 0.15, 7
 #: The end's key: no word has a space.
@@ -231,14 +231,35 @@ def _table(key, parameters: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return _tables[key]
 
 
+def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, HEAD at most, by falling count.
+
+    They are those from a count on; it is found from a histogram of the counts'
+    logarithms (some hundred rows), so nothing else reaches the driver.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r["step"], r["n"]) for r in vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for at, n in sizes:
+        held += n
+        if held > HEAD:
+            break
+        least = at
+    if least is None:
+        return [], np.zeros(0)
+    top = vocabulary.where(step >= least).toArrow()
+    words, count = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
+    order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
+    return [words[i] for i in order], count[order]
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     vocabulary = cut(counts(docs))
     whole = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = int(whole["n"] or 0), int(whole["v"])
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    words, count = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.float64)
+    words, count = _head(vocabulary)
     n = min(CLASSES - 1, len(words))
     rest_mass = n_train - count[:n].sum() + SMOOTH * (n_types - n + 1)
     frequency = np.append(count[:n], n_train - count[:n].sum())
