@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import SPACE_CHARS, SPACE_CLASS, cut, number_within
+from stratalog.llm.base import SPACE_CHARS, SPACE_CLASS, cut, drop_table, number_within
 
 MIN_WORDS = 50
 #: Positions that a task looks up at once, but for a longer text.
@@ -73,6 +73,7 @@ def levels(positions: DataFrame, top: int) -> list[DataFrame]:
         there = Window.partitionBy("id", "t1").orderBy("seq").rangeBetween(1 << k, 1 << k)
         pairs = cut(out[-1].select("id", "t1", "seq", F.col("rank").alias("r1"), F.first("rank").over(there).alias("r2")).where("r2 IS NOT NULL"))
         level = cut(pairs.join(_ranked(pairs, "r1", "r2"), ["r1", "r2"]).select("id", "t1", "seq", "rank"))
+        drop_table(pairs)
         if level.isEmpty():
             break
         out.append(level)
@@ -163,7 +164,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     heads = runs.groupBy("m", "r1", "r2").agg(F.min(here).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = runs.join(heads, ["m", "r1", "r2"]).where(here > F.col("head")).select("id", "t1", "a", "m")
     # A text has two runs per line at most.
-    return later.union(copies).groupBy("id", "t1").agg(F.collect_list(F.struct("a", "m")).alias("runs"))
+    found = cut(later.union(copies).groupBy("id", "t1").agg(F.collect_list(F.struct("a", "m")).alias("runs")))
+    for table in (sequences, positions, *ranks, runs):
+        drop_table(table)
+    return found
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
