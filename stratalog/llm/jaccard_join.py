@@ -323,10 +323,12 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     # class holds count among them, so the rarest `spare` others do.
     nth = F.row_number().over(Window.partitionBy("id", "hc").orderBy("holders", "token"))
     rare = cut(abroad.join(passed, ["id", "hc"]).withColumn("nth", nth).where("nth <= spare").select("id", "ord", "hc", "token"))
+    drop_table(abroad)
     wanted = rare.select("token", F.col("hc").alias("c")).distinct()
     matrix = entries.select("token", "c", "block", "ord").join(wanted, ["token", "c"], "left_semi").groupBy("token", "c", "block").agg(F.min("ord").alias("first"))
     asked = rare.join(matrix.withColumnRenamed("c", "hc"), ["token", "hc"]).where(F.col("first") < F.col("ord")).select("id", "block").distinct()
     pairs = cut(asked)
+    drop_table(rare)
     bucket = F.pmod(F.col("block"), F.lit(4 * partitions(spark))).cast("int")
     queries = pairs.join(described.select("id", "ord", "tokens"), "id").select(bucket.alias("bucket"), "block", "id", "ord", "tokens")
     members = described.join(pairs.select("block").distinct(), "block", "left_semi").select(bucket.alias("m_bucket"), *(F.col(x).alias(f"m_{x}") for x in ("block", "id", "ord", "tokens")))
@@ -361,7 +363,10 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
                     found.append((int(keys[good][k]), key))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return cut(queries.groupBy("bucket").cogroup(members.groupBy("m_bucket")).applyInArrow(opened, "a long, b long"))
+    found = cut(queries.groupBy("bucket").cogroup(members.groupBy("m_bucket")).applyInArrow(opened, "a long, b long"))
+    for table in (pairs, described):
+        drop_table(table)
+    return found
 
 
 def _classes_of(described: DataFrame) -> int:
@@ -393,6 +398,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Equal sets: every row of a class links with its representative, as do the
     # classes that one repeated doc_id belongs to.
     copies = rows.join(classes.where("rep <> top"), ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = components(links.union(_across(sets, groups)).union(copies))
+    across = _across(sets, groups)
+    found = components(links.union(across).union(copies))
+    # What is left reads the documents' rows and the components only.
+    for table in (sets, groups, links, across, classes):
+        drop_table(table)
     named = rows.join(found, "id", "left")
     return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
