@@ -2,10 +2,41 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from stratalog.tables import cut, drop_table, number_within, partitions, scratch
 
-__all__ = ["SPACE_CHARS", "SPACE_CLASS", "cut", "drop_table", "number_within", "partitions", "scratch"]
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "cut", "drop_table", "lean", "number_within", "partitions", "scratch"]
 
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+
+
+def _settle() -> None:
+    """Let this Python worker give freed memory back.
+
+    Workers outlive their tasks. Arrow's own pool and glibc's growing threshold
+    would keep what a task has freed, next to the executor's heap.
+    """
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks are unmapped when freed
+        libc.malloc_trim(0)
+
+
+def lean(run):
+    """``run`` for mapInArrow, tidying up before and after."""
+
+    def tidy(batches):
+        _settle()
+        try:
+            yield from run(batches)
+        finally:
+            _settle()
+
+    return tidy

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import partitions
+from stratalog.llm.base import lean, partitions
 
 MINIMUM, NORMAL, MAXIMUM = 32, 64, 256
 #: Zero bits asked for before and after NORMAL bytes.
@@ -213,4 +213,4 @@ def with_edits(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COLUMNS.split(", ")])
 
-    return with_next(docs).mapInArrow(run, COLUMNS)
+    return with_next(docs).mapInArrow(lean(run), COLUMNS)

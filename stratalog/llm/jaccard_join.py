@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, number_within, partitions
+from stratalog.llm.base import cut, drop_table, lean, number_within, partitions
 from stratalog.llm.components import components
 
 WORDS = 5
@@ -80,6 +80,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(g)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch, a few hundred Python objects at a time."""
+    for a in range(0, batch.num_rows, 256):
+        yield from zip(*(c[a : a + 256].to_pylist() for c in batch.columns))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = (a, b) if len(a) < len(b) else (b, a)
     if not len(small) or LIKE[0] * len(small) < LIKE[1] * len(large):
@@ -152,7 +158,7 @@ def _blobs(source: DataFrame, n_buckets: int, whole: bool) -> DataFrame:
                     yield batch_of(len(some), part=[part] * len(some), bucket=used[k : k + 64].astype(np.int32), keys=[x for x, _ in some], rows=[x for _, x in some])
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, value in rows_of(batch):
                 s = _sets(value) if whole else shingles(value)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d1, d2 = np.frombuffer(digest, "<i8").tolist()
@@ -169,7 +175,7 @@ def _blobs(source: DataFrame, n_buckets: int, whole: bool) -> DataFrame:
         if docs:
             yield from flush()
 
-    return source.mapInArrow(run, BLOBS)
+    return source.mapInArrow(lean(run), BLOBS)
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
         total = int(np.sum(table["entries"].to_numpy()))
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "shared": pa.array([both.astype("<u4").tobytes()], pa.binary()), "entries": pa.array([total], pa.int64())})
 
-    packed = blobs.where("bucket IS NOT NULL").select("bucket", "keys").mapInArrow(at_most_two, "bucket int, keys binary, entries long")
+    packed = blobs.where("bucket IS NOT NULL").select("bucket", "keys").mapInArrow(lean(at_most_two), "bucket int, keys binary, entries long")
     return cut(packed.groupBy("bucket").applyInArrow(twice, "bucket int, shared binary, entries long"))
 
 
@@ -246,7 +252,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return with_b.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +266,7 @@ def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                 least = np.array([(t * by).min() for t in tokens], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k] * len(ids), pa.int32()), pa.array(least)], ["id", "k", "least"])
 
-    keys = cut(sets.select("id", "tokens").mapInArrow(minima, "id long, k int, least long"))
+    keys = cut(sets.select("id", "tokens").mapInArrow(lean(minima), "id long, k int, least long"))
     heads = keys.groupBy("k", "least").agg(F.min("id").alias("a"))
     headed = cut(keys.join(heads, ["k", "least"]).select("id", "a"))
     links = cut(_verified(headed.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets))
@@ -302,14 +308,14 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n", "ord", "c", "block"]
         for batch in batches:
-            tokens = [_sets(x.as_py()) for x in batch.column(5)]
-            n = np.array([len(t) for t in tokens])
-            whole = (np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).view(np.int64)
-            columns = [np.repeat(batch.column(i).to_numpy(), n) for i in range(5)]
-            for a in range(0, len(whole), 100_000):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 100_000]) for x in columns), pa.array(whole[a : a + 100_000])], [*names, "token"])
-
-    entries = described.mapInArrow(rows, "id long, n long, ord long, c int, block long, token long")
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                tokens = [_sets(x.as_py()) for x in part.column(5)]
+                n = np.array([len(t) for t in tokens])
+                columns = [pa.array(np.repeat(part.column(i).to_numpy(), n)) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(tokens).view(np.int64))], [*names, "token"])
+
+    entries = described.mapInArrow(lean(rows), "id long, n long, ord long, c int, block long, token long")
     # How many sets of a size class hold a token, and the largest component that does.
     held = entries.groupBy("token", F.col("c").alias("hc")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("holders"))
     floors = F.create_map(*(F.lit(x) for c in range(_classes_of(described)) for x in (c, class_floor(c))))
@@ -389,7 +395,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 s = [shingles(t) for t in batch.column(1)[a : a + 1000].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 1000], pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "n", "tokens"])
 
-    some = cut(texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(sets_of, "id long, n long, tokens binary").where("n > 0"))
+    some = cut(texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "id long, n long, tokens binary").where("n > 0"))
     again = cut(_blobs(some.select("id", "tokens"), partitions(spark), True))
     sets = cut(some.join(screen(again, True).select("id").distinct(), "id", "left_semi"))
     for table in (some, again):

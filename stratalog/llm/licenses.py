@@ -33,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.base import lean
 from stratalog.llm.license_texts import TEMPLATES
 
 #: Stems that make a word a licence term.
@@ -187,4 +188,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     # Texts without a term never leave the JVM.
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
-    return some.mapInArrow(run, ", ".join(f"`{c.split()[0]}` {c.split()[1]}" for c in COLUMNS.split(", ")))
+    return some.mapInArrow(lean(run), ", ".join(f"`{c.split()[0]}` {c.split()[1]}" for c in COLUMNS.split(", ")))

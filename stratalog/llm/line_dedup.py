@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import SPACE_CHARS, SPACE_CLASS, cut, drop_table, number_within
+from stratalog.llm.base import SPACE_CHARS, SPACE_CLASS, cut, drop_table, lean, number_within
 
 MIN_WORDS = 50
 #: Positions that a task looks up at once, but for a longer text.
@@ -145,7 +145,7 @@ def _windows(ranks: list[DataFrame], min_words: int) -> DataFrame:
         part = level.select("id", "t1", F.lit(k).alias("k"), F.col("seq").cast("long").alias("seq"), "rank", *((F.col(c).cast("long").alias(c) if k == 0 else F.lit(None).cast("long").alias(c)) for c in ("before", "w")))
         whole = part if whole is None else whole.union(part)
     dealt = whole.repartition("id", "t1").sortWithinPartitions("id", "t1", "k", "seq")
-    return dealt.mapInArrow(run, "id long, t1 long, a long, m long, r1 long, r2 long")
+    return dealt.mapInArrow(lean(run), "id long, t1 long, a long, m long, r1 long, r2 long")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -211,4 +211,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *extra])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in extra)])
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(lean(run), schema)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table
+from stratalog.llm.base import cut, drop_table, lean
 
 SMOOTH = 0.1
 #: Classes of the model (the rest's and the end's included) and its dimensions.
@@ -93,7 +93,7 @@ def counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield from flush()
 
-    return _texts(docs).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return _texts(docs).mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -209,7 +209,7 @@ def train(docs: DataFrame, words: list[bytes], frequency: np.ndarray) -> Model:
         return pa.table({"salt": first("salt"), "block": first("block"), "weight": pa.array([weights.sum()]), "values": pa.array([(total / weights.sum()).astype("<f4").tobytes()], pa.binary())})
 
     schema = "salt int, block int, weight double, values binary"
-    models = _texts(docs).mapInArrow(run, schema)
+    models = _texts(docs).mapInArrow(lean(run), schema)
     halves = models.groupBy("salt", "block").applyInArrow(average, schema)
     rows = halves.withColumn("salt", F.lit(0)).groupBy("salt", "block").applyInArrow(average, schema).collect()  # one model
     shared.unpersist()
@@ -306,7 +306,7 @@ def score(docs: DataFrame) -> DataFrame:
         if docs_:
             yield from flush()
 
-    scored = cut(_texts(docs).mapInArrow(run, "row long, doc_id string, n_tokens long, n_known long, base double, model double, word binary, tf long"))
+    scored = cut(_texts(docs).mapInArrow(lean(run), "row long, doc_id string, n_tokens long, n_known long, base double, model double, word binary, tf long"))
     # The exact way for words beyond the head. Those seen in training are found in
     # the vocabulary; the others have count 0.
     rare = scored.where("word IS NOT NULL").select("row", "word", "tf").join(vocabulary, "word", "left")

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, number_within
-from stratalog.llm.tokens import BATCH_CHARS, slices, tokenizer
+from stratalog.llm.base import cut, drop_table, lean, number_within
+from stratalog.llm.tokens import tokenizer
 
 CAPACITY = 2048
 #: Rounds of weights, and configurations priced in each: the plan's size.
@@ -52,10 +52,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(kind, tokenizer_path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(len(texts), [len(t) for t in texts], BATCH_CHARS):
+            for a in range(0, batch.num_rows, 512):
                 rows = []
-                for key, packed in zip(keys[a:b], tok.encode(texts[a:b])):
+                keys, texts = (c[a : a + 512].to_pylist() for c in batch.columns)
+                for key, packed in zip(keys, tok.encode([t or "" for t in texts])):
                     ids = np.append(np.frombuffer(packed, tok.code), end_id).astype("<u4")
                     first = len(ids) % capacity or capacity
                     for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> Plan:
@@ -225,7 +225,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + number - row[:, 1]), pa.array(row[:, 3])], [*names, "sequence_id", "offset"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "__number")
-    return numbered.mapInArrow(run, f"{kept}, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(run), f"{kept}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id: int = 0, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:

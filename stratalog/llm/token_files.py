@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, partitions, scratch
+from stratalog.llm.base import cut, drop_table, lean, partitions, scratch
 from stratalog.llm.tokens import BATCH_CHARS, slices, tokenizer
 
 MAX_BITS = 20
@@ -154,7 +154,7 @@ def tokenized(docs: DataFrame, kind: str, end_id: int, path: str | None = None)
                 ids = [x + end for x in tok.encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([keys[a:b], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def global_counts(ids: DataFrame, width: int, size: int) -> np.ndarray:
@@ -169,7 +169,7 @@ def global_counts(ids: DataFrame, width: int, size: int) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -213,7 +213,7 @@ def encode_table(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1
     # The ranges' second key splits rows that share a doc_id without sampling ids.
     ranged = ids.withColumn("__tie", F.crc32("ids")).repartitionByRange(partitions(spark), "doc_id", "__tie")
     ordered = ranged.sortWithinPartitions("doc_id", "__tie", "ids").select("doc_id", "ids")
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(f"{path}/shards")
+    ordered.mapInArrow(lean(run), SHARD_SCHEMA).write.parquet(f"{path}/shards")
     drop_table(ids)
 
 
@@ -248,7 +248,7 @@ def decode_table(spark: SparkSession, path: str, with_ids: bool = True) -> DataF
                 yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return shards.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def round_trip(docs: DataFrame, kind: str = "word", end_id: int = 1, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
