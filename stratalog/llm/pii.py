@@ -36,9 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.base import lean
+
 KINDS = ("email", "ip", "card", "phone")
 #: Bound of the labelled sample.
 SAMPLE_DOCS = 1_000
+#: Characters of a sampled text that are learned from (all are searched).
+SAMPLE_CHARS = 20_000
 WINDOW, STRIDE = 64, 32
 EMBEDDED, HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 24, 6, 48, 0.02, 11
 #: Windows whose scores are computed at once.
@@ -405,9 +409,14 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Tagger:
     """Train on the driver from at most ``sample`` documents."""
     some = docs.select(F.col("doc_id").cast("string").alias("k"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    # The first 20,000 characters of a sampled text are enough to learn from.
-    rows = some.select(F.xxhash64("k").alias("h"), F.substring("text", 1, 20_000).alias("text")).orderBy("h", "text").limit(sample).collect()
-    return Tagger().fit(*training_windows([r["text"] for r in rows]))
+    # Hashes first, so that a task sends a number for each of its smallest, not a
+    # text; the texts that are meant follow.
+    hashed = some.select(F.xxhash64("k").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    smallest = hashed.select("h").orderBy("h").limit(sample).collect()
+    if not smallest:
+        return Tagger().fit(*training_windows([]))
+    rows = sorted(tuple(r) for r in hashed.where(F.col("h") <= smallest[-1]["h"]).collect())[:sample]
+    return Tagger().fit(*training_windows([text for _, text in rows]))
 
 
 COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -433,4 +442,4 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1000], *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), COLUMNS)
