@@ -69,3 +69,13 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, k
     for i, k in enumerate(keys):
         on = on & ranged[k].eqNullSafe(s[f"__key{i}"])
     return ranged.join(s, on, "inner").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).select(*df.columns, name, *["__part"] * keep_part)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases.
+
+    It does so when the driver collects the handles of the jobs they belong to,
+    which a driver with a large heap may not do for hours. Call it where a phase
+    ends with a written table.
+    """
+    spark.sparkContext._jvm.System.gc()
