@@ -5,9 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 
-from stratalog.tables import cut, drop_table, number_within, partitions, scratch
+from stratalog.tables import cut, drop_table, number_within, partitions, release_shuffles, scratch
 
-__all__ = ["SPACE_CHARS", "SPACE_CLASS", "cut", "drop_table", "lean", "number_within", "partitions", "scratch"]
+__all__ = ["SPACE_CHARS", "SPACE_CLASS", "cut", "drop_table", "lean", "number_within", "partitions", "release_shuffles", "scratch"]
 
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

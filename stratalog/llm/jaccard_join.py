@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, lean, number_within, partitions
+from stratalog.llm.base import cut, drop_table, lean, number_within, partitions, release_shuffles
 from stratalog.llm.components import components
 
 WORDS = 5
@@ -330,6 +330,7 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("id", "hc").orderBy("holders", "token"))
     rare = cut(abroad.join(passed, ["id", "hc"]).withColumn("nth", nth).where("nth <= spare").select("id", "ord", "hc", "token"))
     drop_table(abroad)
+    release_shuffles(spark)
     wanted = rare.select("token", F.col("hc").alias("c")).distinct()
     matrix = entries.select("token", "c", "block", "ord").join(wanted, ["token", "c"], "left_semi").groupBy("token", "c", "block").agg(F.min("ord").alias("first"))
     asked = rare.join(matrix.withColumnRenamed("c", "hc"), ["token", "hc"]).where(F.col("first") < F.col("ord")).select("id", "block").distinct()
@@ -395,16 +396,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 s = [shingles(t) for t in batch.column(1)[a : a + 1000].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 1000], pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "n", "tokens"])
 
+    left = cut(left)
+    release_shuffles(spark)
     some = cut(texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "id long, n long, tokens binary").where("n > 0"))
+    release_shuffles(spark)
     again = cut(_blobs(some.select("id", "tokens"), partitions(spark), True))
     sets = cut(some.join(screen(again, True).select("id").distinct(), "id", "left_semi"))
-    for table in (some, again):
+    for table in (some, again, left):
         drop_table(table)
+    release_shuffles(spark)
     links, groups = _groups(sets)
     # Equal sets: every row of a class links with its representative, as do the
     # classes that one repeated doc_id belongs to.
     copies = rows.join(classes.where("rep <> top"), ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    release_shuffles(spark)
     across = _across(sets, groups)
+    release_shuffles(spark)
     found = components(links.union(across).union(copies))
     # What is left reads the documents' rows and the components only.
     for table in (sets, groups, links, across, classes):
