@@ -161,11 +161,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = levels(positions, max(0, min_words.bit_length() - 1))
     runs = cut(_windows(ranks, min_words))
     here = F.struct("id", "t1", "a")
-    heads = runs.groupBy("m", "r1", "r2").agg(F.min(here).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # As a table of its own: a join of two plain shuffles is one Spark can split
+    # where a run has very many copies.
+    heads = cut(runs.groupBy("m", "r1", "r2").agg(F.min(here).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     later = runs.join(heads, ["m", "r1", "r2"]).where(here > F.col("head")).select("id", "t1", "a", "m")
     # A text has two runs per line at most.
     found = cut(later.union(copies).groupBy("id", "t1").agg(F.collect_list(F.struct("a", "m")).alias("runs")))
-    for table in (sequences, positions, *ranks, runs):
+    for table in (sequences, positions, *ranks, runs, heads):
         drop_table(table)
     return found
 
