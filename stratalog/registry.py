@@ -197,6 +197,36 @@ def lsm_scan_values(spark, sf_dir):
     return scans.values(ops.run_entries(events_log(spark, sf_dir)).where("run_id = 0"))
 
 
+# The queries above show one generation, as their SQL says; those below do the
+# same for the whole log, whatever its size, numbered by generation and key.
+
+
+@_query(f"{LATEST} SELECT key, value, is_tombstone, row_number() OVER (ORDER BY key) - 1 AS nth FROM last")
+def lsm_drain_all(spark, sf_dir):
+    """The whole log as one open generation."""
+    return _index(ops.drain(events_log(spark, sf_dir).withColumn("run_id", F.lit(None).cast("long"))), "key")
+
+
+@_query(f"WITH {ENTRIES} SELECT run_id, key, value, row_number() OVER (ORDER BY run_id, key) - 1 AS nth FROM entries WHERE NOT is_tombstone")
+def lsm_scan_live_all(spark, sf_dir):
+    return _index(ops.run_entries(events_log(spark, sf_dir)).where(scans.is_live()).select("run_id", "key", "value"), "run_id", "key")
+
+
+@_query(f"WITH {ENTRIES} SELECT run_id, key, row_number() OVER (ORDER BY run_id, key) - 1 AS nth FROM entries")
+def lsm_scan_keys_all(spark, sf_dir):
+    return _index(ops.run_entries(events_log(spark, sf_dir)).select("run_id", "key"), "run_id", "key")
+
+
+@_query(f"WITH {ENTRIES} SELECT run_id, key, value, is_tombstone FROM entries")
+def lsm_scan_entries_all(spark, sf_dir):
+    return ops.run_entries(events_log(spark, sf_dir)).select("run_id", "key", "value", "is_tombstone").orderBy("run_id", "key")
+
+
+@_query(f"WITH {ENTRIES} SELECT run_id, value, is_tombstone FROM entries")
+def lsm_scan_values_all(spark, sf_dir):
+    return ops.run_entries(events_log(spark, sf_dir)).orderBy("run_id", "key").select("run_id", "value", "is_tombstone")
+
+
 @_query(f"""WITH {LOG} SELECT seq, CASE WHEN is_tombstone THEN 'Tombsome()' ELSE value END AS text, coalesce(value, '') AS bytes,
        CAST(coalesce(strlen(value), 0) AS BIGINT) AS len FROM log""")
 def lsm_value_text_len(spark, sf_dir):
