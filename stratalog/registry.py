@@ -362,6 +362,17 @@ def ts_bit_strings(spark, sf_dir):
     return dods.select("event_id", text.alias("bits"), bits.padded(text).alias("padded"))
 
 
+@_query(f"""WITH {SERIES}, c AS (
+  SELECT user_id, event_id, ['0', '10', '110', '1110', '11110', '111110'][b + 1] AS prefix, [0, 7, 9, 16, 32, 64][b + 1] AS width FROM coded),
+n AS (SELECT event_id, prefix || CASE WHEN width = 0 THEN '' ELSE lpad(bin(event_id), 64, '0')[65 - width:] END AS bits FROM c)
+SELECT event_id, bits, rpad(bits, CAST(64 * greatest(1, ceil(length(bits) / 64)) AS INTEGER), '0') AS padded FROM n""")
+def ts_bit_strings_all(spark, sf_dir):
+    """Every width: the widest code is padded to two words."""
+    dods = codec.deltas(events_series(spark, sf_dir), ["user_id"], "event_id")
+    text = F.concat(codec.prefix(), bits.bit_string(F.col("event_id"), codec.payload_width()))
+    return dods.select("event_id", text.alias("bits"), bits.padded(text).alias("padded"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -35,3 +35,10 @@ def test_drain_reads_the_whole_log(spark, sql):
     ((keys,),) = sql.sql("SELECT count(DISTINCT user_id) FROM events").fetchall()
     got = both(spark, sql, "lsm_drain_all")
     assert [r["key"] for r in sorted(got, key=lambda r: r["nth"])] == sorted({r["key"] for r in got}) and len(got) == keys
+
+
+def test_bit_strings_have_every_width(spark, sql):
+    got = both(spark, sql, "ts_bit_strings_all")
+    ((events,),) = sql.sql("SELECT count(*) FROM events").fetchall()
+    assert len(got) == events and {len(r["padded"]) for r in got} == {64, 128}
+    assert all(len(r["padded"]) == 128 for r in got if r["bits"].startswith("111110"))
