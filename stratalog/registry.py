@@ -197,8 +197,16 @@ def lsm_scan_values(spark, sf_dir):
     return scans.values(ops.run_entries(events_log(spark, sf_dir)).where("run_id = 0"))
 
 
-# The queries above show one generation, as their SQL says; those below do the
-# same for the whole log, whatever its size, numbered by generation and key.
+@_query(f"""WITH {LOG} SELECT seq AS at_seq, key, last_value(value) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value
+FROM log""")
+def lsm_replay_get_all(spark, sf_dir):
+    """The state just before each event."""
+    log = events_log(spark, sf_dir)
+    return ops.as_of(log, log.select(F.col("seq").alias("at_seq"), "key"))
+
+
+# The drain and scans above show one generation, as their SQL says; those below do
+# the same for the whole log, whatever its size, numbered by generation and key.
 
 
 @_query(f"{LATEST} SELECT key, value, is_tombstone, row_number() OVER (ORDER BY key) - 1 AS nth FROM last")

@@ -42,3 +42,11 @@ def test_bit_strings_have_every_width(spark, sql):
     ((events,),) = sql.sql("SELECT count(*) FROM events").fetchall()
     assert len(got) == events and {len(r["padded"]) for r in got} == {64, 128}
     assert all(len(r["padded"]) == 128 for r in got if r["bits"].startswith("111110"))
+
+
+def test_every_event_is_asked_for(spark, sql):
+    got = both(spark, sql, "lsm_replay_get_all")
+    ((events,),) = sql.sql("SELECT count(*) FROM events").fetchall()
+    assert len({r["at_seq"] for r in got}) == len(got) == events
+    third = {(r["at_seq"], r["key"], r["value"]) for r in both(spark, sql, "lsm_replay_get")}
+    assert third == {(r["at_seq"], r["key"], r["value"]) for r in got if r["at_seq"] % 3 == 0}
