@@ -12,9 +12,10 @@ windows.
 Every place of every text with a digit, an @ or an "at" before a dot is within
 windows of WINDOW characters that overlap by half. Their emission scores are
 averaged, weighted to a window's middle, and each run of overlapping windows is
-decoded by one Viterbi pass, so a span over a window's edge is found whole. A
-decoded span is added, trimmed to what has its kind's form (see ``well_formed``),
-if it has any and touches no base span; base spans stay as they are.
+decoded by one Viterbi pass, so a span over a window's edge is found whole. Every
+known spelling in a decoded span is added, or all of it if it has none but what
+its kind can't do without (see ``stretches``), unless it touches a base span; base
+spans stay as they are.
 
 Memory: a task holds one text and the windows of a few thousand places. The model
 is some thousand numbers, shipped with the function.
@@ -56,7 +57,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 #: Where windows are laid.
-_PLACE = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])(?=.{1,40}?(?:(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])|\.[A-Za-z]))")
+_PLACE = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])(?=(?s:.){1,40}?(?:(?<![A-Za-z])[Dd][Oo][Tt](?![A-Za-z])|\.[A-Za-z]))")
 
 Span = tuple[str, int, int]
 
@@ -102,30 +103,42 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-# What a decoded span must hold to be added; the longest such stretch is its
-# exact place.
-_AT, _DOT = r"(?:@|[\[(]\s?at\s?[\])]|\sat\s)", r"(?:\.|[\[(]\s?dot\s?[\])]|\sdot\s)"
+# Known spellings give a decoded span's exact places; one of another spelling is
+# added as it is, if it has what its kind can't do without (see ``_fits``).
+_AT, _DOT = r"(?:@|[\[({<]\s?at\s?[\])}>]|\sat\s|_at_)", r"(?:\.|[\[({<]\s?dot\s?[\])}>]|\sdot\s|_dot_)"
+_AT_THEN_DOT = re.compile(r"[a-z0-9].*?(?:@|(?<![a-z])at(?![a-z])).*?[a-z0-9].*?(?:\.|(?<![a-z])dot(?![a-z])).*?[a-z0-9]", re.I | re.S)
 _FORMS = {
     "email": re.compile(rf"[\w.%+-]+\s?{_AT}\s?[\w-]+(?:\s?{_DOT}\s?[\w-]+)+", re.I | re.A),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._-]?[0-9]){11,18}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9])\(?[0-9][ ().0-9/-]{7,20}[0-9](?![0-9])"),
+    "phone": re.compile(r"(?<![0-9])(?:\+|\()?[0-9][ ().0-9/-]{7,20}[0-9](?![0-9])"),
 }
 
 
 def _fits(kind: str, text: str) -> bool:
     digits = _DIGITS.sub("", text)
     if kind == "ip":
-        return _octets(text)
+        parts = [p for p in _DIGITS.split(text) if p]
+        return len(parts) == 4 and _octets(".".join(parts))
     if kind == "card":
-        return luhn(digits)
-    return kind == "email" or 9 <= len(digits) <= 15 and bool(re.search("[ ()/-]", text))
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    return bool(_AT_THEN_DOT.search(text))
+
+
+def stretches(kind: str, text: str) -> list[tuple[int, int]]:
+    """What a decoded span adds: every known spelling in it, else all of it
+    without the signs at its ends, if that fits its kind."""
+    found = [m.span() for m in _FORMS[kind].finditer(text) if _fits(kind, m.group())]
+    if not found and (m := re.search(r"[+(]?[^\W_](?:.*[^\W_])?", text, re.S)) and _fits(kind, m.group()):
+        found = [m.span()]
+    return found
 
 
 def well_formed(kind: str, text: str) -> tuple[int, int] | None:
     """The longest stretch of a span that has its kind's form."""
-    found = [m.span() for m in _FORMS[kind].finditer(text) if _fits(kind, m.group())]
-    return max(found, key=lambda s: s[1] - s[0], default=None)
+    return max(stretches(kind, text), key=lambda s: s[1] - s[0], default=None)
 
 
 # Characters: 0 outside the text, printable ASCII, line ends, other letters, others.
@@ -351,9 +364,9 @@ def decode(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
 def added(text: str, base: list[Span], model: list[Span]) -> list[Span]:
     out = []
     for kind, a, b in model:
-        inner = well_formed(kind, text[a:b])
-        if inner and all(a + inner[1] <= x or y <= a + inner[0] for _, x, y in base):
-            out.append((kind, a + inner[0], a + inner[1]))
+        for c, d in stretches(kind, text[a:b]):
+            if all(a + d <= x or y <= a + c for _, x, y in base):
+                out.append((kind, a + c, a + d))
     return out
 
 
@@ -364,7 +377,7 @@ def generated(rng: np.random.Generator) -> tuple[str, str | None]:
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     form = rng.integers(16)
     if form < 4:
-        at, dot = pick(("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "))
+        at, dot = pick(("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("_at_", "_dot_"), (" {at} ", pick(".", " {dot} ")), (" <at> ", pick(".", " <dot> ")), (" [at] ", "\n[dot] "))
         return f"{word()}{pick('', '.', '_')}{pick('', d(2))}{at}{word()}{dot}{pick('com', 'org', 'example' + dot + 'com', 'net')}", "email"
     if form < 6:
         return ".".join(str(x) for x in rng.integers(0, 256, 4)), "ip"
@@ -373,7 +386,7 @@ def generated(rng: np.random.Generator) -> tuple[str, str | None]:
         n += next(c for c in "0123456789" if luhn(n + c))
         return sep.join(n[i : i + 4] for i in range(0, 16, 4)), "card"
     if form < 12:
-        return pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(2)} {d(7)}", f"{d(4)} {d(3)} {d(3)}", f"+{d(2)} {d(3)} {d(6)}"), "phone"
+        return pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(2)} {d(7)}", f"{d(4)} {d(3)} {d(3)}", f"{d(3)}.{d(3)}.{d(4)}", d(10), f"+{d(2)} {d(3)} {d(6)}"), "phone"
     return pick(f"20{d(2)}-0{pick('1', '9')}-1{d(1)}", f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", d(int(rng.integers(1, 9))), f"{d(2)}:{d(2)}", f'"{rng.bytes(16).hex()}"', f"{d(1)},{d(3)}.{d(2)}", f"{word()} at {word()}", f"{d(2)}/{d(2)}/{d(4)}"), None
 
 
@@ -390,10 +403,10 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     for text in texts:
         spans = base_spans(text)
-        for a, b in zones(text)[:4]:
+        for a, b in zones(text):
             take(text, spans, a, b)
     around = [t for t in texts if len(t) > 200] or ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore. " * 4, "And then, one day, it went on for a while as nobody there was home. The others had gone out to see the sea. " * 4]
-    for _ in range(1600):
+    for _ in range(3200):
         t = around[rng.integers(len(around))]
         k = int(rng.integers(0, len(t) - 150))
         at = int(rng.integers(20, 90))

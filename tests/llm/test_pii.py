@@ -129,3 +129,27 @@ def test_documents(spark, tagger):
     assert by[1]["spans"] == "email:5:13" and by[1]["n_email"] == 1 and by[1]["base_sha256"] == hashlib.sha256(b"email:5:13").hexdigest()
     assert by[2]["spans"] == "" and by[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and by[None]["n_ip"] == 1
     assert pii.find(spark.createDataFrame([], "doc_id long, text string"), tagger).count() == 0
+
+
+@pytest.mark.parametrize("kind, spelling", [("phone", "555.123.4567"), ("phone", "5551234567"), ("email", "john_at_example_dot_com"), ("email", "john {at} example.com"), ("email", "john <at> example.com"), ("email", "name [at] host\n[dot] org")])
+def test_spellings_without_a_pattern_are_added(tagger, kind, spelling):
+    hits = 0
+    for before, after in (("Once upon a time there was ", " and then it went on for a while."), ("You can reach me under ", " or after six, she said."), ("the report of the house was sent by ", " to the others who had gone")):
+        text = before + spelling + after
+        hits += (kind, len(before), len(before) + len(spelling)) in pii.added(text, [], pii.decode(tagger, [text])[0])
+    assert hits >= 2
+
+
+def test_decoded_spans_add_every_spelling_and_unknown_ones():
+    text = "(243) 555-5526, (243) 555-5527"
+    assert pii.added(text, [], [("phone", 0, len(text))]) == [("phone", 0, 14), ("phone", 16, 30)]
+    assert pii.added("=bob AT host DOT org=", [], [("email", 0, 21)]) == [("email", 1, 20)]
+    assert pii.added("<bob -at- host -dot- org>", [], [("email", 0, 25)]) == [("email", 1, 24)]
+    assert pii.added("555_123_4567", [], [("phone", 0, 12)]) == [("phone", 0, 12)]
+    assert pii.added("bob and org, 12345678", [], [("email", 0, 11), ("phone", 13, 21)]) == []
+
+
+def test_all_zones_of_a_sampled_text_are_learned():
+    text = ("1 " + "x" * 200) * 9
+    assert len(pii.zones(text)) == 9
+    assert len(pii.training_windows([text])[0]) - len(pii.training_windows([""])[0]) > 12
