@@ -4,11 +4,12 @@
    ones join, so a block is as long as the licence it holds. Words are compared
    in lower case, without punctuation around them.
 2. A block is compressed by zstandard alone and with each template as a raw
-   dictionary; the share of bytes saved ranks the templates.
-3. The best RANKED templates are compared word by word. A template of up to
-   SHORT words must stand there exactly, a longer one with at most DIFFERENT of
-   its words changed, left out or added; the fewest differences win, then the
-   longer template. The wording found is taken out of the block and what is left
+   dictionary; the share of bytes saved ranks templates that match equally well.
+3. Every template of whose words the block has enough is compared word by word. A
+   template of up to SHORT words must stand there exactly, a longer one with at
+   most DIFFERENT of its words changed, left out or added, none of which names a
+   version or another licence; the longest wording found wins, then the one with
+   the fewest differences. The wording found is taken out of the block and what is left
    on either side is looked at again, so several licences are all found.
 
 Blocks are cut at BLOCK_WORDS words with an overlap of OVERLAP, more than any
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,8 +43,10 @@ CUES = "licen[cs]|copyright|redistribut|sublicens|public domain|creative commons
 #: Words around a term that belong to its block; blocks this close are one.
 AROUND = 24
 BLOCK_WORDS, OVERLAP = 2_000, 400
-LEVEL, RANKED = 9, 4
+LEVEL = 9
 SHORT, DIFFERENT = 20, 0.1
+#: Words that tell one licence from another.
+NAMING = frozenset("affero lesser gnu mozilla eclipse attribution sharealike noncommercial noderivatives noderivs later".split())
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 _CUE = re.compile(CUES, re.I)
@@ -100,6 +104,23 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, list[s
     return start, end, out
 
 
+def renamed(template: list[str], stretch: list[str]) -> bool:
+    """Whether the differences make it another licence or version."""
+
+    def names(words: list[str], i: int, j: int) -> bool:
+        for k in range(i, j):
+            before = words[k - 1] if k else ""
+            if NAMING & set(words[k].split("-")) or words[k] == "library" and before == "gnu":
+                return True
+            # A number is a version by its place; others number clauses or years.
+            if re.fullmatch(r"v?[0-9]+(\.[0-9]+)*", words[k]) and ("." in words[k] or words[k][0] == "v" or before in ("version", "v", "license", "licence")):
+                return True
+        return False
+
+    steps = difflib.SequenceMatcher(None, template, stretch, autojunk=False).get_opcodes()
+    return any(tag != "equal" and (names(template, i, j) or names(stretch, k, n)) for tag, i, j, k, n in steps)
+
+
 def _blocks(words: list[str], spans: list[tuple[int, int]], text: str) -> Iterator[tuple[int, int]]:
     """Ranges of words around licence terms."""
     terms, at = [], 0
@@ -133,18 +154,19 @@ def scan(text: str | None) -> list[dict]:
         if not block or not _CUE.search(" ".join(block)):
             return
         best = None
-        ranked = reductions(block)
-        # Templates of a few words are outweighed by long ones in a long block.
-        some = ranked[:RANKED] + [x for x in ranked[RANKED:] if len(_templates()[x[1]][1]) <= SHORT][:RANKED]
-        for saved, k in some:
-            name, template, _ = _templates()[k]
-            if saved <= 0:
+        held = Counter(block)
+        # Each template word that the block hasn't is a difference, so no match is
+        # lost here, and a block without a candidate needs no compression.
+        able = {k for k, (_, template, _) in enumerate(_templates()) if _missing(k, held) <= _allowed(template)}
+        for saved, k in reductions(block) if able else []:
+            if k not in able:
                 continue
+            name, template, _ = _templates()[k]
             match = _exact(template, block) if len(template) <= SHORT else differences(template, block)
             if match is None:
                 continue
             start, end, changed = match
-            if len(changed) > (0 if len(template) <= SHORT else DIFFERENT * len(template)):
+            if len(changed) > _allowed(template) or changed and renamed(template, block[start:end]):
                 continue
             # Fewest differences among those that cover the most.
             rank = (-(end - start), len(changed), -saved)
@@ -166,6 +188,19 @@ def scan(text: str | None) -> list[dict]:
     return out
 
 
+@cache
+def _counts(k: int) -> Counter:
+    return Counter(_templates()[k][1])
+
+
+def _missing(k: int, held: Counter) -> int:
+    return sum(n - held[w] for w, n in _counts(k).items() if held[w] < n)
+
+
+def _allowed(template: list[str]) -> float:
+    return 0 if len(template) <= SHORT else DIFFERENT * len(template)
+
+
 def _exact(template: list[str], block: list[str]) -> tuple[int, int, list[str]] | None:
     n = len(template)
     for k in range(len(block) - n + 1):

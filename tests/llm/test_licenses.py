@@ -48,3 +48,30 @@ def test_documents(spark):
     got = licenses.scan_documents(spark.createDataFrame([(*r, "l") for r in rows], "doc_id long, text string, license string")).collect()
     assert sorted((r["doc_id"] or 0, r["license"]) for r in got) == [(0, "CC0-1.0"), (1, "MIT (line)"), (1, "MIT (line)")]
     assert licenses.scan_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+CC = "This work is licensed under a Creative Commons {} International License. To view a copy, write to Creative Commons."
+
+
+@pytest.mark.parametrize("name", ["Attribution-ShareAlike 4.0", "Attribution-NonCommercial-ShareAlike 4.0", "Attribution-NoDerivatives 4.0", "Attribution-NonCommercial-NoDerivatives 4.0"])
+def test_long_creative_commons_notices(name):
+    (hit,) = licenses.scan(BEFORE + CC.format(name) + AFTER)
+    short = {"Attribution": "BY", "ShareAlike": "SA", "NonCommercial": "NC", "NoDerivatives": "ND", "4.0": "4.0"}
+    assert hit["license"] == "-".join(["CC", *(short[w] for w in name.replace(" ", "-").split("-"))])
+
+
+def test_licences_are_not_taken_for_their_relatives():
+    gpl, lgpl = TEMPLATES["GPL-3.0-or-later"], TEMPLATES["LGPL-3.0-or-later"]
+    assert [h["license"] for h in licenses.scan(gpl.replace("GNU General", "GNU Affero General"))] == ["AGPL-3.0-or-later"]
+    assert [h["license"] for h in licenses.scan(lgpl.replace("version 3", "version 2.1"))] == ["LGPL-2.1-or-later"]
+    assert licenses.scan(gpl.replace("version 3", "version 4")) == []
+    assert licenses.scan(TEMPLATES["MPL-2.0"].replace("v. 2.0", "v. 1.1").replace("MPL/2.0", "MPL/1.1")) == []
+    # Other changes, and clauses without their numbers, are no other licence.
+    (hit,) = licenses.scan(TEMPLATES["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))
+    assert hit["license"] == "BSD-3-Clause" and hit["n_differences"] == 3
+
+
+def test_every_template_is_compared_in_a_block_of_many():
+    names = [n for n in TEMPLATES if len(licenses.words_of(TEMPLATES[n])[0]) > licenses.SHORT]
+    found = [h["license"] for h in licenses.scan("\n\n".join(TEMPLATES[n] for n in names))]
+    assert set(names) <= set(found)
