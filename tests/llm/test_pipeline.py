@@ -103,3 +103,24 @@ def test_registered_queries(spark):
     for name in ("op1_mixing", "op7_line_dedup", "op9_jaccard_join"):
         assert names[name](spark, sf).count() == n
     assert set(quality_rules.POLICIES) >= {"base", "v1"}
+
+
+def test_groups_are_of_rows_and_not_of_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(1, a), (1, b), (1, near(b)), (2, near(a)), (None, c), (None, near(c)), (None, d), (3, near(d)), (4, e), (4, e)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0, "x", "y") for r in rows], SCHEMA + ", id string, row string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got[1, a] == 1 and got[3, near(d)] == 1 and got[4, e] == 1
+    assert got[1, b] + got[1, near(b)] == 1 and got[None, c] + got[None, near(c)] == 1 and sum(got.values()) == 5
+    # Later stages keep rows that share an id.
+    docs = corpus_pipeline.cut(out)
+    mixed = corpus_pipeline.cut(corpus_pipeline.mixed(spark, docs, ""))
+    assert Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == got
+    tok = ChunkTokenizer("byte")
+    want = sum(len(tok.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in got)
+    assert sum(r["length"] for r in corpus_pipeline.packed(spark, mixed, "").collect()) == want
