@@ -3,8 +3,9 @@
 A text is the sequence of its lines that have a word (white space at their ends
 doesn't count; a blank line goes with the line before it). A run of lines with
 MIN_WORDS words or more that stands elsewhere before, in ascending (doc_id, line)
-order, is a later copy, and its lines are deleted; the first copy stays. Every
-deleted line stands, within the same run, at an earlier place that is kept.
+order, is a later copy, and its lines are deleted. The earlier copy must end before
+the later one begins, so a line repeated without end keeps its first MIN_WORDS
+words. Every deleted line is equal to an earlier one that is kept.
 
 1. Texts equal to an earlier one are later copies as a whole; of each class only
    the first goes on.
@@ -17,7 +18,8 @@ deleted line stands, within the same run, at an earlier place that is kept.
    (2^k <= m < 2^(k+1)). Of each position, the shortest run of MIN_WORDS words
    that begins or ends there is looked up; as a line has a word at least, m is at
    most MIN_WORDS and log2(MIN_WORDS) levels do. The maximal repeated runs are
-   exactly the unions of those whose interval has an earlier member.
+   exactly the unions of those whose interval has an earlier member that doesn't
+   overlap; the first member is one if any is.
 
 Memory: a task holds one text's lines, or a batch of positions. The driver sees
 one count per level.
@@ -38,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import SPACE_CHARS, SPACE_CLASS, cut, drop_table, lean, number_within
+from stratalog.llm.base import SPACE_CHARS, SPACE_CLASS, cut, drop_table, join_counted, lean, number_within
 
 MIN_WORDS = 50
 #: Positions that a task looks up at once, but for a longer text.
@@ -58,21 +60,28 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return docs.select(*(c.alias(k) for k, c in _keys().items()), F.transform(worded, entry).alias("lines")).distinct()
 
 
-def _ranked(pairs: DataFrame, first: str, second: str) -> DataFrame:
-    """Distinct repeated (first, second), numbered in sorted order."""
-    repeated = pairs.groupBy(first, second).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(first, second)
-    return number_within(repeated, [], [first, second], "rank")
+def _ranked(pairs: DataFrame, first: str, second: str, *columns: str) -> DataFrame:
+    """Rows of ``pairs`` whose (first, second) is repeated, with its ``rank``: its
+    number, in sorted order, among the repeated ones."""
+    repeated = pairs.groupBy(first, second).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    numbered = number_within(repeated, [], [first, second], "rank")
+    names = cut(numbered)
+    drop_table(numbered)
+    found = join_counted(pairs, names, [first, second], "n", ["id", "seq"], pairs.count())
+    out = cut(found.where("rank IS NOT NULL").select("id", "t1", "seq", "rank", *columns))
+    drop_table(names)
+    return out
 
 
 def levels(positions: DataFrame, top: int) -> list[DataFrame]:
     """Ranks 0 to ``top``: (id, t1, seq, rank) of positions of repeated runs of
     2^k lines; the first also has ``before`` and ``w``, words before and in the
     line. ``positions``: id, t1, seq, h1, h2, before, w."""
-    out = [cut(positions.join(_ranked(positions, "h1", "h2"), ["h1", "h2"]).select("id", "t1", "seq", "rank", "before", "w"))]
+    out = [_ranked(positions, "h1", "h2", "before", "w")]
     for k in range(top):
         there = Window.partitionBy("id", "t1").orderBy("seq").rangeBetween(1 << k, 1 << k)
         pairs = cut(out[-1].select("id", "t1", "seq", F.col("rank").alias("r1"), F.first("rank").over(there).alias("r2")).where("r2 IS NOT NULL"))
-        level = cut(pairs.join(_ranked(pairs, "r1", "r2"), ["r1", "r2"]).select("id", "t1", "seq", "rank"))
+        level = _ranked(pairs, "r1", "r2")
         drop_table(pairs)
         if level.isEmpty():
             break
@@ -152,22 +161,25 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, t1, runs): runs of worded lines to delete, arrays of (a, m)."""
     sequences = cut(_sequences(docs))
     words = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    classes = sequences.groupBy("t1", "t2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
-    known = sequences.join(classes, ["t1", "t2"])
-    copies = known.where("id <> head").where(words >= min_words).select("id", "t1", F.lit(0).cast("long").alias("a"), F.size("lines").cast("long").alias("m"))
+    # Classes of equal texts, and how many rows have them, as a small table: the
+    # joins below must not run the aggregate again, and split hot classes.
+    classes = cut(sequences.groupBy("t1", "t2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    known = join_counted(sequences, classes, ["t1", "t2"], "n", ["id"], sequences.count())
+    is_copy = F.coalesce(F.col("id") != F.col("head"), F.lit(False))
+    copies = known.where(is_copy & (words >= min_words)).select("id", "t1", F.lit(0).cast("long").alias("a"), F.size("lines").cast("long").alias("m"))
     ahead = Window.partitionBy("id", "t1").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    lines = known.where("id = head").select("id", "t1", F.posexplode("lines").alias("seq", "line")).select("id", "t1", "seq", "line.*")
+    lines = known.where(~is_copy).select("id", "t1", F.posexplode("lines").alias("seq", "line")).select("id", "t1", "seq", "line.*")
     positions = cut(lines.withColumn("before", F.coalesce(F.sum("w").over(ahead), F.lit(0))))
     ranks = levels(positions, max(0, min_words.bit_length() - 1))
     runs = cut(_windows(ranks, min_words))
     here = F.struct("id", "t1", "a")
-    # As a table of its own: a join of two plain shuffles is one Spark can split
-    # where a run has very many copies.
     heads = cut(runs.groupBy("m", "r1", "r2").agg(F.min(here).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    later = runs.join(heads, ["m", "r1", "r2"]).where(here > F.col("head")).select("id", "t1", "a", "m")
+    named = join_counted(runs, heads, ["m", "r1", "r2"], "n", ["id", "a"], runs.count())
+    same_text = (F.col("id") == F.col("head.id")) & (F.col("t1") == F.col("head.t1"))
+    later = named.where((here > F.col("head")) & ~(same_text & (F.col("a") < F.col("head.a") + F.col("m")))).select("id", "t1", "a", "m")
     # A text has two runs per line at most.
     found = cut(later.union(copies).groupBy("id", "t1").agg(F.collect_list(F.struct("a", "m")).alias("runs")))
-    for table in (sequences, positions, *ranks, runs, heads):
+    for table in (sequences, classes, positions, *ranks, runs, heads):
         drop_table(table)
     return found
 
@@ -177,7 +189,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) ->
     n_deleted (worded lines) and deleted_words."""
     found = later_copies(docs, min_words).select(F.col("id").alias("__id"), F.col("t1").alias("__t1"), F.col("runs").alias("__runs"))
     key = _keys()
-    marked = docs.withColumn("text", F.col("text").cast("string")).join(found, (key["id"] == F.col("__id")) & (key["t1"] == F.col("__t1")), "left").drop("__id", "__t1")
+    # By shuffle at every size: what is found grows with the documents.
+    marked = docs.withColumn("text", F.col("text").cast("string")).join(found.hint("merge"), (key["id"] == F.col("__id")) & (key["t1"] == F.col("__t1")), "left").drop("__id", "__t1")
     kept = [f for f in marked.schema.fields if f.name != "__runs"]
     extra = ["n_lines", "n_deleted", "deleted_words"] * report
 

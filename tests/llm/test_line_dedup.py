@@ -8,8 +8,9 @@ from stratalog.llm.base import SPACE_CHARS
 
 
 def brute(rows, min_words):
-    """For each line, the longest run from it that begins at an earlier place too,
-    found by comparing line by line; rows are (doc_id, text), ids unique."""
+    """For each line, the longest run from it that stands at an earlier place too,
+    without overlap, found by comparing line by line; rows are (doc_id, text), ids
+    unique."""
     places, kept = defaultdict(list), {}
     ordered = [(d, t or "", [x.strip(SPACE_CHARS) for x in (t or "").split("\n") if x.strip(SPACE_CHARS)]) for d, t in sorted(rows, key=lambda r: r[0])]
     for k, (d, text, lines) in enumerate(ordered):
@@ -20,7 +21,8 @@ def brute(rows, min_words):
                 theirs, m = ordered[other][2], 0
                 while i + m < len(lines) and j + m < len(theirs) and lines[i + m] == theirs[j + m]:
                     m += 1
-                best = max(best, m)
+                # In the same text the earlier copy must end before this one begins.
+                best = max(best, min(m, i - j) if other == k else m)
             places[line].append((k, i))
             if sum(len(x.split()) for x in lines[i : i + best]) >= min_words:
                 gone[i : i + best] = [True] * best
@@ -77,3 +79,21 @@ def test_repeats_nulls_clashing_columns_and_empty_table(spark):
     # The null id comes first and keeps its text; equal rows share their lot.
     assert got == [(7, "x", False), (8, "y", False), (9, "z", True), (10, "w", False)]
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_copy_stays_where_copies_overlap(spark):
+    rows = [(1, "\n".join(["x"] * 120)), (2, "\n".join(["again and again"] * 40)), (3, "\n".join(["a b c", "d e"] * 30))]
+    got = run(spark, rows, 50)
+    assert got == brute(rows, 50)
+    assert [len(got[d][2].split()) for d in (1, 2, 3)] == [50, 51, 50]
+
+
+def test_join_counted_splits_heavy_keys(spark, monkeypatch):
+    from stratalog.llm import base
+
+    monkeypatch.setattr(base, "HEAVY", 3)
+    rows = spark.createDataFrame([(i, i % 7 if i % 2 else 100) for i in range(60)], "id long, k long")
+    table = rows.groupBy("k").count().where("k <> 3").selectExpr("k", "count AS n", "k * 10 AS v")
+    got = base.join_counted(rows, table, ["k"], "n", ["id"], rows.count())
+    assert got.columns == ["id", "k", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted((i, k, None if k == 3 else 10 * k) for i, k in ((i, i % 7 if i % 2 else 100) for i in range(60)))
