@@ -5,28 +5,35 @@ crc32(doc_id as text) mod 10 is not 0 train, the others are held out.
 
 1. ``counts``: the training tokens' counts, summed map-side, then by word; the
    whole vocabulary stays a distributed table.
-2. The model predicts a token from the one before it among CLASSES classes: the
-   most frequent words, each its own, and one for all others. The score of word
-   w after c is r_c . q_w + b_w. Each task trains on all its training tokens from
-   one common start (b: log frequencies) by noise-contrastive estimation with
-   noise shared by a batch; models are averaged, weighted by tokens, in a tree of
-   groups. Every training token is used once.
-3. The product of all contexts with all classes, in batches, gives the log
-   normaliser of each context, so log-probabilities are exactly normalised. A
-   word of the rest class is one of the rest by its smoothed count:
-   log P(rest | c) + log((count + 0.1) / mass), with one unseen type in the mass
-   as in the base score.
-
-Words beyond the HEAD most frequent get their counts by a shuffle join with the
-vocabulary table; HEAD bounds what is broadcast.
-
-Memory: a task counts FLUSH_WORDS distinct words at once and holds HEAD words and
-one table of CLASSES^2 floats. The driver holds HEAD words and one model.
+2. Items: the HEAD most frequent words, each its own, and BANDS bands of all other
+   words, seen or not, by their last three bytes. Every item has a learnt vector
+   as context and as target. The ORDER items before a token, each times a vector of
+   its position, add up to a prediction h; sqrt(items) classes of equal mass, by
+   falling frequency, normalise in two levels: P(class | h) P(item | class, h),
+   both log-bilinear (h . q + b).
+3. Training tokens are dealt by a hash of (doc_id, text) to portions of PORTION
+   tokens on average, and portions to ROUNDS rounds. A portion learns, in the order
+   of doc_id and ids, from its round's start: noise-contrastive estimation of both
+   levels, with noise classes shared by a batch and noise items within the target's
+   class. A round's result is the mean of its portions, each row weighted by its
+   updates, added up in two steps. Every training token is used once, and the
+   number of tasks or files changes nothing.
+4. Products of batches of predictions with all classes, and with all items of a
+   class, give exact normalisers. A band's word is one of the band by its smoothed
+   count: log P(band | h) + log((count + 0.1) / mass), with one unseen type a band
+   in the mass, as in the base score.
+
+HEAD bounds what is broadcast: words that tie at its border are all in bands.
+Counts of bands' words come by a shuffle join with the vocabulary table.
+
+Memory: a task counts FLUSH_WORDS distinct words at once and holds the HEAD words,
+one model and a batch. The driver holds the HEAD words and one model.
 
 Defined results: a null or empty text is the end alone; a null doc_id counts as
 the empty text (crc32 0: held out); repeated rows are scored, and train, each for
-itself; an empty table gives an empty table, no training token gives scores from
-the smoothing alone. Columns other than doc_id and text aren't read.
+itself (rows equal in doc_id and text one after the other, in one portion); an
+empty table gives an empty table, no training token gives scores from the
+smoothing alone. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -42,16 +49,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, lean
+from stratalog.llm.base import cut, drop_table, lean, scratch
 
 SMOOTH = 0.1
-#: Classes of the model (the rest's and the end's included) and its dimensions.
-CLASSES, DIMENSIONS = 4096, 16
-#: Words whose counts are broadcast.
-HEAD = 200_000
+#: Words with vectors of their own, bands of other words, words of context, dimensions.
+HEAD, BANDS, ORDER, DIMENSIONS = 65_536, 256, 3, 16
 FLUSH_WORDS = 500_000
-#: Training: tokens of a batch, noise words of a batch, rate, start's seed.
-BATCH, NOISE, RATE, SEED = 4_096, 192, 0.15, 7
+#: Tokens of a portion, rounds of averaging.
+PORTION, ROUNDS = 4_000_000, 3
+#: Training: tokens of a batch, noise classes of a batch, noise items of a token,
+#: rate, start's seed.
+BATCH, NOISE_CLASSES, NOISE_ITEMS, RATE, SEED = 4_096, 48, 3, 0.2, 7
+#: Floats of a block of a model on its way, of a batch of scores.
+BLOCK, CELLS = 1 << 18, 1 << 22
 #: The end's key: no word has a space.
 END = b" "
 
@@ -96,161 +106,304 @@ def counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Model:
-    """Classes 0 .. n-1 in order of frequency; class n is the rest's."""
+def band_of(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % BANDS
+
+
+class Items:
+    """Head words and bands, numbered by falling mass, and their classes."""
+
+    def __init__(self, words: list[bytes], count: np.ndarray, band_mass: np.ndarray):
+        mass = np.concatenate([count, band_mass])
+        order = np.argsort(-mass, kind="stable")
+        place = np.empty(len(mass), np.int64)
+        place[order] = np.arange(len(mass))
+        self.of_word = dict(zip(words, place[: len(words)].tolist()))
+        self.of_band = place[len(words) :]
+        self.n, self.n_words = len(mass), len(words)
+        p = (mass + SMOOTH)[order]
+        p /= p.sum()
+        k = int(np.ceil(np.sqrt(self.n)))
+        share = np.minimum(((np.cumsum(p) - p / 2) * k).astype(np.int64), k - 1)
+        self.start = np.flatnonzero(np.append(True, np.diff(share) != 0))
+        self.size = np.diff(np.append(self.start, self.n))
+        self.cls = np.repeat(np.arange(len(self.start)), self.size)
+        self.class_p = np.add.reduceat(p, self.start)
+        self.log_p = np.log(p / self.class_p[self.cls]).astype(np.float32)
+        self.end = self.item(END)
+
+    def item(self, word: bytes) -> int:
+        at = self.of_word.get(word)
+        return int(self.of_band[band_of(word)]) if at is None else at
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        get = self.of_word.get
+        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self.of_band[band_of(words[i])]
+        return out
 
-    def __init__(self, frequency: np.ndarray):
-        self.n = len(frequency) - 1
-        self.p = (frequency + SMOOTH) / (frequency + SMOOTH).sum()
-        start = np.random.Generator(np.random.PCG64(SEED))
-        self.r, self.q = (start.normal(0, 0.1, (len(frequency), DIMENSIONS)).astype(np.float32) for _ in range(2))
-        self.b = np.log(self.p).astype(np.float32)
 
-    def parameters(self) -> np.ndarray:
-        return np.concatenate([self.r, self.q, self.b[:, None]], axis=1)
+def contexts(ids: np.ndarray, end: int) -> np.ndarray:
+    """[token, position]: the items before each token of a text; ends before it."""
+    padded = np.concatenate([np.full(ORDER, end, ids.dtype), ids[:-1]])
+    return np.stack([padded[ORDER - 1 - j : len(padded) - j] for j in range(ORDER)], axis=1)
+
+
+#: A model's arrays; each is followed by its rows' AdaGrad sums and updates.
+PARTS = ("r", "q", "c", "s")
+
 
-    def use(self, parameters: np.ndarray) -> Model:
-        self.r, self.q, self.b = (np.ascontiguousarray(x, np.float32) for x in (parameters[:, :DIMENSIONS], parameters[:, DIMENSIONS:-1], parameters[:, -1]))
+class Model:
+    """r: items as context, q: items as targets, c: classes, s: positions; the last
+    column of q and c is the bias."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        start = np.random.Generator(np.random.PCG64(SEED))
+        n, k, d = items.n, len(items.start), DIMENSIONS
+        self.r, self.q, self.c = (start.normal(0, 0.1, (rows, d + extra)).astype(np.float32) for rows, extra in ((n, 0), (n, 1), (k, 1)))
+        self.q[:, -1], self.c[:, -1] = items.log_p, np.log(items.class_p)
+        self.s = np.repeat((1 / (1 + np.arange(ORDER, dtype=np.float32)))[:, None], d, axis=1)
+        self.grown = {part: np.full(len(getattr(self, part)), 1.0, np.float32) for part in PARTS}
+
+    def predict(self, context: np.ndarray) -> np.ndarray:
+        h = self.s[0] * self.r[context[:, 0]]
+        for j in range(1, ORDER):
+            h += self.s[j] * self.r[context[:, j]]
+        return h
+
+    def flat(self, weights: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """All rows with their sums; with ``weights``, times them, and the weights."""
+        out = []
+        for part in PARTS:
+            rows = np.concatenate([getattr(self, part), self.grown[part][:, None]], axis=1)
+            if weights is not None:
+                w = weights[part][:, None]
+                rows = np.concatenate([rows * w, w], axis=1)
+            out.append(rows.ravel())
+        return np.concatenate(out)
+
+    def use(self, flat: np.ndarray, weighted: bool = False) -> Model:
+        """Take rows from ``flat``; ``weighted``: sums of rows times weights, where
+        rows without weight stay."""
+        at = 0
+        for part in PARTS:
+            mine = getattr(self, part)
+            rows = flat[at : at + len(mine) * (mine.shape[1] + 1 + weighted)].reshape(len(mine), -1)
+            at += rows.size
+            if weighted:
+                seen = rows[:, -1] > 0
+                rows, to = rows[seen, :-1] / rows[seen, -1:], np.flatnonzero(seen)
+            else:
+                to = slice(None)
+            mine[to], self.grown[part][to] = rows[:, :-1], rows[:, -1]
         return self
 
-    def table(self) -> np.ndarray:
-        """log10 P(class | context), [context, class]; rows sum to one."""
-        out = np.empty((self.n + 1, self.n + 1), np.float32)
-        for a in range(0, self.n + 1, 512):
-            s = self.r[a : a + 512] @ self.q.T + self.b
-            s -= s.max(axis=1, keepdims=True)
-            s -= np.log(np.exp(s).sum(axis=1, dtype=np.float64))[:, None].astype(np.float32)
-            out[a : a + 512] = s / np.float32(np.log(10))
+    def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log P(target | context) of tokens sorted by target."""
+        items, h = self.items, self.predict(context)
+        cls = items.cls[target]
+        s = h @ self.c[:, :-1].T + self.c[:, -1]
+        out = s[np.arange(len(s)), cls].astype(np.float64) - _log_sum(s)
+        edges = np.flatnonzero(np.append(True, np.diff(cls) != 0))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(cls)]):
+            k = int(cls[a])
+            first, size = int(items.start[k]), int(items.size[k])
+            if size == 1:
+                continue
+            vectors, bias = self.q[first : first + size, :-1].T, self.q[first : first + size, -1]
+            for x in range(a, b, max(1, CELLS // size)):
+                y = min(b, x + max(1, CELLS // size))
+                s = h[x:y] @ vectors + bias
+                out[x:y] += s[np.arange(y - x), target[x:y] - first] - _log_sum(s)
         return out
 
 
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1)
+    s = np.exp(s - top[:, None])
+    return top + np.log(s.sum(axis=1, dtype=np.float64))
+
+
 class Trainer:
     def __init__(self, model: Model, seed: int):
         self.m = model
         self.noise = np.random.Generator(np.random.PCG64(seed))
-        self.cumulative = np.cumsum(model.p)
-        self.log_noise = np.log(NOISE * model.p).astype(np.float32)
-        self.grown = {k: np.full(getattr(model, k).shape, 0.1, np.float32) for k in "rqb"}
-
-    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """AdaGrad on the rows' summed gradients."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+        self.cumulative = np.cumsum(model.items.class_p)
+        self.class_noise = np.log(NOISE_CLASSES * model.items.class_p).astype(np.float32)
+        self.item_noise = np.log(NOISE_ITEMS / model.items.size).astype(np.float32)
+        self.weights = {part: np.zeros(len(model.grown[part]), np.float32) for part in PARTS}
+
+    def _step(self, part: str, rows: np.ndarray, gradient: np.ndarray, ordered: bool = False) -> None:
+        """AdaGrad, one sum a row, on the rows' summed gradients."""
+        if not ordered:
+            order = np.argsort(rows)
+            rows, gradient = rows[order], gradient[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        total, rows = np.add.reduceat(gradient[order], first, axis=0), rows[first]
-        self.grown[name][rows] += total * total
-        getattr(self.m, name)[rows] += np.float32(RATE) * total / np.sqrt(self.grown[name][rows])
+        total, touched = np.add.reduceat(gradient, first, axis=0), rows[first]
+        self.weights[part][touched] += np.diff(np.append(first, len(rows)))
+        grown = self.m.grown[part][touched] + np.einsum("ij,ij->i", total, total) / np.float32(DIMENSIONS)
+        self.m.grown[part][touched] = grown
+        getattr(self.m, part)[touched] += np.float32(RATE) / np.sqrt(grown)[:, None] * total
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        m = self.m
-        noise = np.minimum(np.searchsorted(self.cumulative, self.noise.random(NOISE)), m.n).astype(target.dtype)
-        h, qt, qn = m.r[context], m.q[target], m.q[noise]
-        up = np.einsum("ij,ij->i", h, qt) + m.b[target] - self.log_noise[target]
-        down = h @ qn.T + (m.b[noise] - self.log_noise[noise])
-        gp = 1 / (1 + np.exp(np.clip(up, -30, 30)))
-        gn = -1 / (1 + np.exp(np.clip(-down, -30, 30)))
-        dh = gp[:, None] * qt + gn @ qn
-        self._step("r", context, dh)
-        self._step("q", np.concatenate([target, noise]), np.concatenate([gp[:, None] * h, gn.T @ h]))
-        self._step("b", np.concatenate([target, noise]), np.concatenate([gp, gn.sum(axis=0)]))
-
+        m, items = self.m, self.m.items
+        order = np.argsort(target, kind="stable")
+        context, target = context[order], target[order]
+        cls = items.cls[target]
+        h = m.predict(context)
+        one = np.ones((len(h), 1), np.float32)
+        wide = np.concatenate([h, one], axis=1)  # the bias's input is one
+        with np.errstate(over="ignore"):
+            noise = np.minimum(np.searchsorted(self.cumulative, self.noise.random(NOISE_CLASSES, np.float32)), len(items.start) - 1)
+            ct, cn = m.c[cls], m.c[noise]
+            gp = 1 / (1 + np.exp(np.einsum("ij,ij->i", wide, ct) - self.class_noise[cls]))
+            gn = -1 / (1 + np.exp(-(wide @ cn.T - self.class_noise[noise])))
+            dh = gp[:, None] * ct[:, :-1] + gn @ cn[:, :-1]
+            # Tokens of classes with more than one item learn within their class.
+            many = np.flatnonzero(items.size[cls] > 1)
+            t, k, w = target[many], cls[many], wide[many]
+            drawn = items.start[k][:, None] + (self.noise.random((len(t), NOISE_ITEMS), np.float32) * items.size[k][:, None]).astype(np.int64)
+            drawn = np.minimum(drawn, (items.start[k] + items.size[k] - 1)[:, None])
+            qt, qn = m.q[t], m.q[drawn]
+            ip = 1 / (1 + np.exp(np.einsum("ij,ij->i", w, qt) - self.item_noise[k]))
+            jn = -1 / (1 + np.exp(self.item_noise[k][:, None] - np.einsum("ij,ikj->ik", w, qn)))
+        dh[many] += ip[:, None] * qt[:, :-1] + np.einsum("ik,ikj->ij", jn, qn[:, :, :-1])
+        self._step("c", cls, gp[:, None] * wide, ordered=True)
+        self._step("c", noise, gn.T @ wide)
+        if len(t):
+            self._step("q", t, ip[:, None] * w, ordered=True)
+            self._step("q", drawn.ravel(), (jn[:, :, None] * w[:, None, :]).reshape(-1, w.shape[1]))
+        moves = np.stack([np.einsum("ij,ij->j", m.r[context[:, j]], dh) for j in range(ORDER)])
+        self._step("r", context.T.ravel(), np.concatenate([m.s[j] * dh for j in range(ORDER)]))
+        self._step("s", np.arange(ORDER), moves / np.float32(np.sqrt(len(h))), ordered=True)
+
+
+def train(docs: DataFrame, items: Items, words: tuple, tokens_in_all: int) -> Model:
+    """One pass over the training tokens, in rounds of portions."""
+    spark = docs.sparkSession
+    portions = max(1, -(-tokens_in_all // PORTION))
+    rounds = min(ROUNDS, portions)
+    shared = spark.sparkContext.broadcast(words)
+    key = uuid.uuid4().hex
 
-def _classes(words: list[bytes], n: int) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(words[:n])}
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _items(key, shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                piece = batch.slice(a, 256).to_pydict()
+                rows = [(i, p, t) for i, p, t in zip(piece["doc_id"], piece["portion"], piece["text"]) if not held_out(i)]
+                ids = [items.ids(tokens(t)).astype("<u4").tobytes() for _, _, t in rows]
+                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(ids, pa.binary()), pa.array([r[1] % rounds for r in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "portion", "ids", "round"])
+
+    dealt = _texts(docs).withColumn("portion", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.coalesce("text", F.lit(""))), F.lit(portions)))
+    schema = "doc_id string, portion long, ids binary, round long"
+    path = scratch(spark)
+    dealt.mapInArrow(lean(read), schema).write.partitionBy("round").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    model = Model(items)
+    for at in range(rounds):
+        model = _round(table.where(F.col("round") == at), model, shared, key, -(-(portions - at) // rounds), rounds)
+    drop_table(table)
+    shared.unpersist()
+    return model
 
 
-def train(docs: DataFrame, words: list[bytes], frequency: np.ndarray) -> Model:
-    """One pass over the training tokens; the tasks' models are averaged."""
-    n = len(frequency) - 1
-    shared = docs.sparkSession.sparkContext.broadcast((words[:n], frequency))
+def _round(rows: DataFrame, model: Model, words, key: str, portions: int, rounds: int) -> Model:
+    start = rows.sparkSession.sparkContext.broadcast(model.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        words, frequency = shared.value
-        known = _classes(words, n)
-        get, end = known.get, known.get(END, n)
-        model = Model(frequency)
-        trainer, contexts, targets, size, used = Trainer(model, SEED + part), [], [], 0, 0
+        items, portion, trainer, held, size = _items(key, words.value), None, None, [], 0
 
         def learn(at_least: int):
-            nonlocal contexts, targets, size, used
-            context, target = np.concatenate(contexts), np.concatenate(targets)
-            at = 0
-            while size - at >= at_least and size > at:
-                trainer.learn(context[at : at + BATCH], target[at : at + BATCH])
-                at = min(at + BATCH, size)
-            contexts, targets, size, used = [context[at:]], [target[at:]], size - at, used + at
-
-        for doc_id, text in _rows(batches):
-            if held_out(doc_id):
-                continue
-            ws = tokens(text)
-            ids = np.fromiter((get(w, n) for w in ws), np.uint16, len(ws))
-            # A text's first token follows the end of another.
-            contexts.append(np.append(np.uint16(end), ids[:-1]))
-            targets.append(ids)
-            size += len(ids)
-            if size >= 4 * BATCH:
-                learn(BATCH)
-        if size:
+            nonlocal held, size
+            context, target = (np.concatenate(x) for x in zip(*held))
+            done = len(target) - len(target) % at_least
+            for a in range(0, done, BATCH):
+                trainer.learn(context[a : a + BATCH][: done - a], target[a : a + BATCH][: done - a])
+            held, size = [(context[done:], target[done:])], len(target) - done
+
+        def finish():
             learn(1)
-        if used:
-            p = model.parameters()
-            blocks = range(0, n + 1, 512)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part % 64] * len(blocks), pa.int32()), pa.array([a // 512 for a in blocks], pa.int32()), pa.array([float(used)] * len(blocks)), pa.array([p[a : a + 512].astype("<f4").tobytes() for a in blocks], pa.binary())],
-                ["salt", "block", "weight", "values"],
-            )
-
-    def average(table: pa.Table) -> pa.Table:
-        weights = table["weight"].to_numpy()
-        total = sum(w * np.frombuffer(v.as_py(), "<f4").astype(np.float64) for w, v in zip(weights, table["values"]))
-        first = lambda c: pa.array([table[c][0].as_py()], pa.int32())
-        return pa.table({"salt": first("salt"), "block": first("block"), "weight": pa.array([weights.sum()]), "values": pa.array([(total / weights.sum()).astype("<f4").tobytes()], pa.binary())})
-
-    schema = "salt int, block int, weight double, values binary"
-    models = _texts(docs).mapInArrow(lean(run), schema)
-    halves = models.groupBy("salt", "block").applyInArrow(average, schema)
-    rows = halves.withColumn("salt", F.lit(0)).groupBy("salt", "block").applyInArrow(average, schema).collect()  # one model
-    shared.unpersist()
-    model = Model(frequency)
-    if rows:
-        flat = np.concatenate([np.frombuffer(r["values"], "<f4") for r in sorted(rows, key=lambda r: r["block"])])
-        model.use(flat.reshape(n + 1, -1))
+            flat = trainer.m.flat(trainer.weights)
+            for a in range(0, len(flat), BLOCK):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([portion], pa.int64()), pa.array([a // BLOCK], pa.int32()), pa.array([flat[a : a + BLOCK].astype("<f4").tobytes()], pa.binary())],
+                    ["salt", "block", "values"],
+                )
+
+        for batch in batches:
+            for p, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != portion:
+                    if portion is not None:
+                        yield from finish()
+                    portion, held, size = p, [], 0
+                    trainer = Trainer(Model(items).use(start.value), SEED + p)
+                ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                held.append((contexts(ids, items.end), ids))
+                size += len(ids)
+                if size >= 8 * BATCH:
+                    learn(BATCH)
+        if portion is not None:
+            yield from finish()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.float64)
+        for v in table["values"]:
+            total = total + np.frombuffer(v.as_buffer(), "<f4")
+        return pa.table({"salt": table["salt"][:1], "block": table["block"][:1], "values": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    schema = "salt long, block int, values binary"
+    # Two steps of sums: about sqrt(portions) models in each.
+    salts = max(1, round(portions**0.5))
+    dealt = rows.repartitionById(portions, F.floor(F.col("portion") / rounds).cast("int")).sortWithinPartitions("portion", "doc_id", "ids")
+    models = dealt.select("portion", "ids").mapInArrow(lean(run), schema)
+    halves = models.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("salt", "block").applyInArrow(add, schema)
+    done = halves.withColumn("salt", F.lit(0).cast("long")).groupBy("salt", "block").applyInArrow(add, schema).collect()  # one model
+    start.unpersist()
+    if done:
+        model.use(np.concatenate([np.frombuffer(r["values"], "<f4") for r in sorted(done, key=lambda r: r["block"])]), weighted=True)
     return model
 
 
-_tables: dict = {}
+_held: dict = {}
 
 
-def _table(key, parameters: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """This worker's table of the model; built once per model."""
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = Model(frequency).use(parameters).table()
-    return _tables[key]
+def _items(key: str, words: tuple) -> Items:
+    """This worker's items; built once per model."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Items(*words)
+    return _held[key]
 
 
-def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, HEAD at most, by falling count.
+def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
+    """Words by falling count, HEAD at most, their counts, and the least count.
 
-    They are those from a count on; it is found from a histogram of the counts'
-    logarithms (some hundred rows), so nothing else reaches the driver.
+    They are those from a count on. It is found from a histogram of the counts'
+    logarithms (some hundred rows), then from one of the counts in the step where
+    the border is, so nothing else reaches the driver.
     """
-    step = F.floor(F.log2("c") * 8).cast("int")
-    sizes = sorted(((r["step"], r["n"]) for r in vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    step = F.floor(F.log2("c") * 8).cast("int").alias("step")
+    number = F.count(F.lit(1)).alias("n")
     least, held = None, 0
-    for at, n in sizes:
-        held += n
-        if held > HEAD:
+    for at, n, c in sorted(map(tuple, vocabulary.groupBy(step).agg(number, F.min("c")).collect()), reverse=True):
+        if held + n > HEAD:
+            for c, n in sorted(map(tuple, vocabulary.where(step == at).groupBy("c").agg(number).collect()), reverse=True):
+                held += n
+                if held > HEAD:
+                    break
+                least = c
             break
-        least = at
+        held, least = held + n, c
     if least is None:
-        return [], np.zeros(0)
-    top = vocabulary.where(step >= least).toArrow()
+        return [], np.zeros(0), (vocabulary.agg(F.max("c")).first()[0] or 0) + 1
+    top = vocabulary.where(F.col("c") >= least).toArrow()
     words, count = top["word"].to_pylist(), top["c"].to_numpy().astype(np.float64)
     order = sorted(range(len(words)), key=lambda i: (-count[i], words[i]))
-    return [words[i] for i in order], count[order]
+    return [words[i] for i in order], count[order], least
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -259,27 +412,52 @@ def score(docs: DataFrame) -> DataFrame:
     vocabulary = cut(counts(docs))
     whole = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = int(whole["n"] or 0), int(whole["v"])
-    words, count = _head(vocabulary)
-    n = min(CLASSES - 1, len(words))
-    rest_mass = n_train - count[:n].sum() + SMOOTH * (n_types - n + 1)
-    frequency = np.append(count[:n], n_train - count[:n].sum())
-    model = train(docs, words, frequency)
-    shared = spark.sparkContext.broadcast((words, count, frequency, model.parameters()))
+    words, count, least = _head(vocabulary)
+    band = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(BANDS)).alias("band")
+    band_mass, band_types = np.zeros(BANDS), np.zeros(BANDS)
+    for r in vocabulary.where(F.col("c") < least).groupBy(band).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        band_mass[r["band"]], band_types[r["band"]] = r["c"], r["n"]
+    known = (words, count, band_mass)
+    items = Items(*known)
+    model = train(docs, items, known, n_train)
+    shared = spark.sparkContext.broadcast((known, band_types, model.flat()))
     key = uuid.uuid4().hex
     base_mass = n_train + SMOOTH * (n_types + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, count, frequency, parameters = shared.value
-        table = _table(key, parameters, frequency)
-        index = {w: i for i, w in enumerate(words)}
-        logs = np.log10(np.append(count, 0) + SMOOTH)
-        logs[-1] = 0  # beyond the head: by the join
-        get, beyond = index.get, len(words)
+        known, band_types, flat = shared.value
+        words, count, band_mass = known
+        items = _items(key, known)
+        model = Model(items).use(flat)
+        # By item: log10(count + 0.1) of a word, 0 for a band, whose words' counts
+        # come by the join; and what a band's word pays for the choice in its band.
+        logs, share, own = np.zeros(items.n), np.zeros(items.n), np.ones(items.n, bool)
+        logs[[items.of_word[w] for w in words]] = np.log10(count + SMOOTH)
+        own[items.of_band], share[items.of_band] = False, -np.log10(band_mass + SMOOTH * (band_types + 1))
         at = TaskContext.get().partitionId() << 33
-        docs_, rest = [], []
+        docs_, rest, held, size = [], [], [], 0
+
+        def settle():
+            """Scores of the texts held."""
+            nonlocal held, size
+            if not held:
+                return
+            target = np.concatenate([ids for _, ids in held])
+            doc = np.repeat(np.arange(len(held)), [len(ids) for _, ids in held])
+            context = np.concatenate([contexts(ids, items.end) for _, ids in held])
+            total = np.zeros(len(held))
+            for a in range(0, len(target), 8 * BATCH):
+                t = target[a : a + 8 * BATCH]
+                order = np.argsort(t, kind="stable")
+                t, d = t[order], doc[a : a + 8 * BATCH][order]
+                value = model.log_p(context[a : a + 8 * BATCH][order], t) / np.log(10)
+                total += np.bincount(d, value + share[t] + logs[t] * ~own[t], len(held))
+            base = np.bincount(doc, logs[target], len(held))
+            docs_.extend((*head, float(b), float(m)) for (head, _), b, m in zip(held, base, total))
+            held, size = [], 0
 
         def flush():
-            rows = list(zip(*docs_)) or [[]] * 7
+            rows = list(zip(*docs_)) or [[]] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             names = ["row", "doc_id", "n_tokens", "n_known", "base", "model"]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types)), pa.nulls(len(docs_), pa.binary()), pa.nulls(len(docs_), pa.int64())], [*names, "word", "tf"])
@@ -289,25 +467,25 @@ def score(docs: DataFrame) -> DataFrame:
 
         for doc_id, text in _rows(batches):
             ws = tokens(text)
-            ids = np.fromiter((get(w, beyond) for w in ws), np.int64, len(ws))
-            known = logs[ids]
-            cls = np.minimum(ids, n)
-            context = np.append(min(get(END, n), n), cls[:-1])
-            base = float(known.sum())
-            model_sum = float(table[context, cls].sum(dtype=np.float64) + known[ids >= n].sum() - (ids >= n).sum() * np.log10(rest_mass))
-            out = np.flatnonzero(ids == beyond).tolist()
-            docs_.append((at, doc_id, len(ws), len(ws) - len(out), base, model_sum))
-            if out:
-                rest.extend((at, w, k) for w, k in Counter(ws[i] for i in out).items())
+            ids = items.ids(ws)
+            beyond = np.flatnonzero(~own[ids]).tolist()
+            held.append(((at, doc_id, len(ws), len(ws) - len(beyond)), ids))
+            size += len(ws)
+            if beyond:
+                rest.extend((at, w, k) for w, k in Counter(ws[i] for i in beyond).items())
             at += 1
+            if size >= 8 * BATCH:
+                settle()
             if len(rest) > 50_000 or len(docs_) >= 5_000:
+                settle()
                 yield from flush()
                 docs_, rest = [], []
+        settle()
         if docs_:
             yield from flush()
 
     scored = cut(_texts(docs).mapInArrow(lean(run), "row long, doc_id string, n_tokens long, n_known long, base double, model double, word binary, tf long"))
-    # The exact way for words beyond the head. Those seen in training are found in
+    # The counts of bands' words. Those seen in training are found in
     # the vocabulary; the others have count 0.
     rare = scored.where("word IS NOT NULL").select("row", "word", "tf").join(vocabulary, "word", "left")
     log_count = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))
