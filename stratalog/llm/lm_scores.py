@@ -52,16 +52,17 @@ from pyspark.sql import functions as F
 from stratalog.llm.base import cut, drop_table, lean, scratch
 
 SMOOTH = 0.1
-#: Words with vectors of their own, bands of other words, words of context, dimensions.
-HEAD, BANDS, ORDER, DIMENSIONS = 65_536, 256, 3, 16
+#: Words with vectors of their own, bands of other words (together 65,536 at most:
+#: items are 16 bits wide), words of context, dimensions.
+HEAD, BANDS, ORDER, DIMENSIONS = 65_000, 256, 3, 16
 FLUSH_WORDS = 500_000
 #: Tokens of a portion, rounds of averaging.
 PORTION, ROUNDS = 4_000_000, 3
 #: Training: tokens of a batch, noise classes of a batch, noise items of a token,
 #: rate, start's seed.
 BATCH, NOISE_CLASSES, NOISE_ITEMS, RATE, SEED = 4_096, 48, 3, 0.2, 7
-#: Floats of a block of a model on its way, of a batch of scores.
-BLOCK, CELLS = 1 << 18, 1 << 22
+#: Floats of a block of a model on its way, of products held at once.
+BLOCK, CELLS = 1 << 18, 1 << 17
 #: The end's key: no word has a space.
 END = b" "
 
@@ -110,6 +111,17 @@ def band_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BANDS
 
 
+class _Places(dict):
+    """Items of words; a word without one of its own gets its band's."""
+
+    def __init__(self, pairs, of_band: list[int]):
+        super().__init__(pairs)
+        self.of_band = of_band
+
+    def __missing__(self, word: bytes) -> int:
+        return self.of_band[zlib.crc32(word[-3:]) % BANDS]
+
+
 class Items:
     """Head words and bands, numbered by falling mass, and their classes."""
 
@@ -118,8 +130,8 @@ class Items:
         order = np.argsort(-mass, kind="stable")
         place = np.empty(len(mass), np.int64)
         place[order] = np.arange(len(mass))
-        self.of_word = dict(zip(words, place[: len(words)].tolist()))
         self.of_band = place[len(words) :]
+        self.of_word = _Places(zip(words, place[: len(words)].tolist()), self.of_band.tolist())
         self.n, self.n_words = len(mass), len(words)
         p = (mass + SMOOTH)[order]
         p /= p.sum()
@@ -133,15 +145,10 @@ class Items:
         self.end = self.item(END)
 
     def item(self, word: bytes) -> int:
-        at = self.of_word.get(word)
-        return int(self.of_band[band_of(word)]) if at is None else at
+        return self.of_word[word]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.of_word.get
-        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = self.of_band[band_of(words[i])]
-        return out
+        return np.fromiter(map(self.of_word.__getitem__, words), np.uint16, len(words))
 
 
 def contexts(ids: np.ndarray, end: int) -> np.ndarray:
@@ -202,28 +209,35 @@ class Model:
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log P(target | context) of tokens sorted by target."""
-        items, h = self.items, self.predict(context)
+        items = self.items
+        h = self.predict(context)
+        h = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)  # the bias's input is one
         cls = items.cls[target]
-        s = h @ self.c[:, :-1].T + self.c[:, -1]
-        out = s[np.arange(len(s)), cls].astype(np.float64) - _log_sum(s)
+        out = _log_share(h, self.c, cls)
         edges = np.flatnonzero(np.append(True, np.diff(cls) != 0))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(cls)]):
             k = int(cls[a])
             first, size = int(items.start[k]), int(items.size[k])
-            if size == 1:
-                continue
-            vectors, bias = self.q[first : first + size, :-1].T, self.q[first : first + size, -1]
-            for x in range(a, b, max(1, CELLS // size)):
-                y = min(b, x + max(1, CELLS // size))
-                s = h[x:y] @ vectors + bias
-                out[x:y] += s[np.arange(y - x), target[x:y] - first] - _log_sum(s)
+            if size > 1:
+                out[a:b] += _log_share(h[a:b], self.q[first : first + size], target[a:b] - first)
         return out
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
-    s = np.exp(s - top[:, None])
-    return top + np.log(s.sum(axis=1, dtype=np.float64))
+def _log_share(h: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """h . v of the chosen vectors minus the logarithm of the sum of exp(h . v) over
+    all, in pieces of rows that stay in the cache."""
+    out, ones = np.empty(len(h)), np.ones(len(vectors), np.float32)
+    step = max(1, CELLS // len(vectors))
+    for a in range(0, len(h), step):
+        s = h[a : a + step] @ vectors.T
+        own = s[np.arange(len(s)), chosen[a : a + step]]
+        with np.errstate(over="ignore"):
+            total = np.exp(s) @ ones
+        if not (np.isfinite(total).all() and (total > 1e-30).all()):
+            top = s.max(axis=1)
+            own, total = own - top, np.exp(s - top[:, None]).sum(axis=1)
+        out[a : a + step] = own - np.log(total)
+    return out
 
 
 class Trainer:
@@ -238,46 +252,64 @@ class Trainer:
     def _step(self, part: str, rows: np.ndarray, gradient: np.ndarray, ordered: bool = False) -> None:
         """AdaGrad, one sum a row, on the rows' summed gradients."""
         if not ordered:
-            order = np.argsort(rows)
+            order = np.argsort(rows, kind="stable")
             rows, gradient = rows[order], gradient[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        first = np.flatnonzero(rows[1:] != rows[:-1])
+        first += 1
+        first = np.concatenate([[0], first])
         total, touched = np.add.reduceat(gradient, first, axis=0), rows[first]
-        self.weights[part][touched] += np.diff(np.append(first, len(rows)))
+        self.weights[part][touched] += np.diff(first, append=len(rows))
         grown = self.m.grown[part][touched] + np.einsum("ij,ij->i", total, total) / np.float32(DIMENSIONS)
         self.m.grown[part][touched] = grown
-        getattr(self.m, part)[touched] += np.float32(RATE) / np.sqrt(grown)[:, None] * total
+        total *= (np.float32(RATE) / np.sqrt(grown))[:, None]
+        getattr(self.m, part)[touched] += total
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         m, items = self.m, self.m.items
         order = np.argsort(target, kind="stable")
         context, target = context[order], target[order]
         cls = items.cls[target]
-        h = m.predict(context)
-        one = np.ones((len(h), 1), np.float32)
-        wide = np.concatenate([h, one], axis=1)  # the bias's input is one
+        seen = [m.r[context[:, j]] for j in range(ORDER)]
+        # The bias's input is one.
+        wide = np.ones((len(target), DIMENSIONS + 1), np.float32)
+        wide[:, :-1] = sum(s * r for s, r in zip(m.s, seen))
+        noise = np.minimum(np.searchsorted(self.cumulative, self.noise.random(NOISE_CLASSES, np.float32)), len(items.start) - 1)
+        ct, cn = m.c[cls], m.c[noise]
         with np.errstate(over="ignore"):
-            noise = np.minimum(np.searchsorted(self.cumulative, self.noise.random(NOISE_CLASSES, np.float32)), len(items.start) - 1)
-            ct, cn = m.c[cls], m.c[noise]
             gp = 1 / (1 + np.exp(np.einsum("ij,ij->i", wide, ct) - self.class_noise[cls]))
-            gn = -1 / (1 + np.exp(-(wide @ cn.T - self.class_noise[noise])))
-            dh = gp[:, None] * ct[:, :-1] + gn @ cn[:, :-1]
-            # Tokens of classes with more than one item learn within their class.
+            gn = wide @ -cn.T
+            gn += self.class_noise[noise]
+            np.exp(gn, out=gn)
+            gn += 1
+            np.divide(-1, gn, out=gn)
+            dh = gn @ cn
+            ct *= gp[:, None]
+            dh += ct
+            # Tokens of classes with more than one item learn within their class;
+            # noise is uniform there, as a class's items are about as frequent.
             many = np.flatnonzero(items.size[cls] > 1)
             t, k, w = target[many], cls[many], wide[many]
-            drawn = items.start[k][:, None] + (self.noise.random((len(t), NOISE_ITEMS), np.float32) * items.size[k][:, None]).astype(np.int64)
-            drawn = np.minimum(drawn, (items.start[k] + items.size[k] - 1)[:, None])
-            qt, qn = m.q[t], m.q[drawn]
-            ip = 1 / (1 + np.exp(np.einsum("ij,ij->i", w, qt) - self.item_noise[k]))
-            jn = -1 / (1 + np.exp(self.item_noise[k][:, None] - np.einsum("ij,ikj->ik", w, qn)))
-        dh[many] += ip[:, None] * qt[:, :-1] + np.einsum("ik,ikj->ij", jn, qn[:, :, :-1])
+            size, offset = items.size[k], self.item_noise[k]
+            drawn = items.start[k] + np.minimum((self.noise.random((NOISE_ITEMS, len(t)), np.float32) * size).astype(np.int64), size - 1)
+            qt = m.q[t]
+            ip = 1 / (1 + np.exp(np.einsum("ij,ij->i", w, qt) - offset))
+            qt *= ip[:, None]
+            moved = [ip[:, None] * w]
+            for d in drawn:
+                qn = m.q[d]
+                jn = -1 / (1 + np.exp(offset - np.einsum("ij,ij->i", w, qn)))
+                qn *= jn[:, None]
+                qt += qn
+                moved.append(jn[:, None] * w)
+        dh[many] += qt
+        dh = dh[:, :-1]
         self._step("c", cls, gp[:, None] * wide, ordered=True)
         self._step("c", noise, gn.T @ wide)
         if len(t):
-            self._step("q", t, ip[:, None] * w, ordered=True)
-            self._step("q", drawn.ravel(), (jn[:, :, None] * w[:, None, :]).reshape(-1, w.shape[1]))
-        moves = np.stack([np.einsum("ij,ij->j", m.r[context[:, j]], dh) for j in range(ORDER)])
-        self._step("r", context.T.ravel(), np.concatenate([m.s[j] * dh for j in range(ORDER)]))
-        self._step("s", np.arange(ORDER), moves / np.float32(np.sqrt(len(h))), ordered=True)
+            self._step("q", np.concatenate([t, *drawn.astype(t.dtype)]), np.concatenate(moved))
+        moves = np.stack([np.einsum("ij,ij->j", r, dh) for r in seen])
+        self._step("r", context.T.ravel(), np.concatenate([s * dh for s in m.s]))
+        self._step("s", np.arange(ORDER), moves / np.float32(np.sqrt(len(dh))), ordered=True)
 
 
 def train(docs: DataFrame, items: Items, words: tuple, tokens_in_all: int) -> Model:
@@ -294,7 +326,7 @@ def train(docs: DataFrame, items: Items, words: tuple, tokens_in_all: int) -> Mo
             for a in range(0, batch.num_rows, 256):
                 piece = batch.slice(a, 256).to_pydict()
                 rows = [(i, p, t) for i, p, t in zip(piece["doc_id"], piece["portion"], piece["text"]) if not held_out(i)]
-                ids = [items.ids(tokens(t)).astype("<u4").tobytes() for _, _, t in rows]
+                ids = [items.ids(tokens(t)).astype("<u2").tobytes() for _, _, t in rows]
                 columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(ids, pa.binary()), pa.array([r[1] % rounds for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "portion", "ids", "round"])
 
@@ -341,7 +373,7 @@ def _round(rows: DataFrame, model: Model, words, key: str, portions: int, rounds
                         yield from finish()
                     portion, held, size = p, [], 0
                     trainer = Trainer(Model(items).use(start.value), SEED + p)
-                ids = np.frombuffer(ids, "<u4").astype(np.int64)
+                ids = np.frombuffer(ids, "<u2")
                 held.append((contexts(ids, items.end), ids))
                 size += len(ids)
                 if size >= 8 * BATCH:
@@ -435,7 +467,7 @@ def score(docs: DataFrame) -> DataFrame:
         logs[[items.of_word[w] for w in words]] = np.log10(count + SMOOTH)
         own[items.of_band], share[items.of_band] = False, -np.log10(band_mass + SMOOTH * (band_types + 1))
         at = TaskContext.get().partitionId() << 33
-        docs_, rest, held, size = [], [], [], 0
+        docs_, rest, held, size = [], ([], [], []), [], 0
 
         def settle():
             """Scores of the texts held."""
@@ -461,9 +493,8 @@ def score(docs: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             names = ["row", "doc_id", "n_tokens", "n_known", "base", "model"]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types)), pa.nulls(len(docs_), pa.binary()), pa.nulls(len(docs_), pa.int64())], [*names, "word", "tf"])
-            k = len(rest)
-            cols = list(zip(*rest)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.nulls(k, t) for t in types[1:]), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], [*names, "word", "tf"])
+            nulls = (pa.nulls(len(rest[0]), t) for t in types[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(rest[0], pa.int64()), *nulls, pa.array(rest[1], pa.binary()), pa.array(rest[2], pa.int64())], [*names, "word", "tf"])
 
         for doc_id, text in _rows(batches):
             ws = tokens(text)
@@ -472,14 +503,17 @@ def score(docs: DataFrame) -> DataFrame:
             held.append(((at, doc_id, len(ws), len(ws) - len(beyond)), ids))
             size += len(ws)
             if beyond:
-                rest.extend((at, w, k) for w, k in Counter(ws[i] for i in beyond).items())
+                times = Counter(map(ws.__getitem__, beyond))
+                rest[0].extend([at] * len(times))
+                rest[1].extend(times)
+                rest[2].extend(times.values())
             at += 1
             if size >= 8 * BATCH:
                 settle()
-            if len(rest) > 50_000 or len(docs_) >= 5_000:
+            if len(rest[0]) > 50_000 or len(docs_) >= 5_000:
                 settle()
                 yield from flush()
-                docs_, rest = [], []
+                docs_, rest = [], ([], [], [])
         settle()
         if docs_:
             yield from flush()
