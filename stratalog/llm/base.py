@@ -17,8 +17,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def _settle() -> None:
-    """Let this Python worker give freed memory back.
+def _settle(keep: int) -> None:
+    """Let this Python worker give freed memory back, but for ``keep`` bytes.
 
     Workers outlive their tasks. Arrow's own pool and glibc's growing threshold
     would keep what a task has freed, next to the executor's heap.
@@ -28,19 +28,21 @@ def _settle() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks are unmapped when freed
+        libc.mallopt(-3, max(keep, 1 << 20))  # M_MMAP_THRESHOLD: larger blocks are unmapped when freed
+        libc.mallopt(-1, max(keep, 1 << 17))  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
 
 
-def lean(run):
-    """``run`` for mapInArrow, tidying up before and after."""
+def lean(run, keep: int = 0):
+    """``run`` for mapInArrow, tidying up before and after. ``keep``: bytes freed
+    while it runs that it may use again at once, for many short-lived arrays."""
 
     def tidy(batches):
-        _settle()
+        _settle(keep)
         try:
             yield from run(batches)
         finally:
-            _settle()
+            _settle(0)
 
     return tidy
 

@@ -23,11 +23,12 @@ crc32(doc_id as text) mod 10 is not 0 train, the others are held out.
    count: log P(band | h) + log((count + 0.1) / mass), with one unseen type a band
    in the mass, as in the base score.
 
-HEAD bounds what is broadcast: words that tie at its border are all in bands.
-Counts of bands' words come by a shuffle join with the vocabulary table.
+KNOWN bounds what is broadcast: words that tie at its border are all beyond it;
+their counts come by a shuffle join with the vocabulary table. Each text becomes
+ids once; training and scoring read that table.
 
-Memory: a task counts FLUSH_WORDS distinct words at once and holds the HEAD words,
-one model and a batch. The driver holds the HEAD words and one model.
+Memory: a task counts FLUSH_WORDS distinct words at once and holds the KNOWN words,
+one model and a batch. The driver holds the KNOWN words and one model.
 
 Defined results: a null or empty text is the end alone; a null doc_id counts as
 the empty text (crc32 0: held out); repeated rows are scored, and train, each for
@@ -38,6 +39,7 @@ smoothing alone. Columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -54,7 +56,9 @@ from stratalog.llm.base import cut, drop_table, lean, scratch
 SMOOTH = 0.1
 #: Words with vectors of their own, bands of other words (together 65,536 at most:
 #: items are 16 bits wide), words of context, dimensions.
-HEAD, BANDS, ORDER, DIMENSIONS = 65_000, 256, 3, 16
+HEAD, BANDS, ORDER, DIMENSIONS = 32_000, 256, 3, 16
+#: Words whose counts are broadcast, those of the head first.
+KNOWN = 200_000
 FLUSH_WORDS = 500_000
 #: Tokens of a portion, rounds of averaging.
 PORTION, ROUNDS = 4_000_000, 3
@@ -63,6 +67,8 @@ PORTION, ROUNDS = 4_000_000, 3
 BATCH, NOISE_CLASSES, NOISE_ITEMS, RATE, SEED = 4_096, 48, 3, 0.2, 7
 #: Floats of a block of a model on its way, of products held at once.
 BLOCK, CELLS = 1 << 18, 1 << 17
+#: Bytes that a worker may keep while it trains or scores.
+KEEP = 32 << 20
 #: The end's key: no word has a space.
 END = b" "
 
@@ -125,14 +131,16 @@ class _Places(dict):
 class Items:
     """Head words and bands, numbered by falling mass, and their classes."""
 
-    def __init__(self, words: list[bytes], count: np.ndarray, band_mass: np.ndarray):
-        mass = np.concatenate([count, band_mass])
+    def __init__(self, words: list[bytes], count: np.ndarray, band_mass: np.ndarray, n_words: int):
+        """Known words and their counts, the ``n_words`` of the head first; counts of
+        each band's words."""
+        mass = np.concatenate([count[:n_words], band_mass])
         order = np.argsort(-mass, kind="stable")
         place = np.empty(len(mass), np.int64)
         place[order] = np.arange(len(mass))
-        self.of_band = place[len(words) :]
-        self.of_word = _Places(zip(words, place[: len(words)].tolist()), self.of_band.tolist())
-        self.n, self.n_words = len(mass), len(words)
+        self.of_band = place[n_words:]
+        self.of_word = _Places(zip(words[:n_words], place[:n_words].tolist()), self.of_band.tolist())
+        self.n = len(mass)
         p = (mass + SMOOTH)[order]
         p /= p.sum()
         k = int(np.ceil(np.sqrt(self.n)))
@@ -312,34 +320,65 @@ class Trainer:
         self._step("s", np.arange(ORDER), moves / np.float32(np.sqrt(len(dh))), ordered=True)
 
 
-def train(docs: DataFrame, items: Items, words: tuple, tokens_in_all: int) -> Model:
-    """One pass over the training tokens, in rounds of portions."""
-    spark = docs.sparkSession
-    portions = max(1, -(-tokens_in_all // PORTION))
-    rounds = min(ROUNDS, portions)
-    shared = spark.sparkContext.broadcast(words)
+READ = "row long, doc_id string, portion long, n_tokens long, n_known long, base double, ids binary, word binary, tf long, round long"
+#: Rounds of rows that don't train: held-out texts, words beyond the known ones.
+HELD_OUT, BEYOND = -1, -2
+
+
+def read(docs: DataFrame, known, portions: int, rounds: int) -> DataFrame:
+    """A written table by ``round`` with two kinds of rows: a text's ids, counts of
+    tokens and base score without the words beyond the known ones; and those words
+    of a text (row, word, tf)."""
     key = uuid.uuid4().hex
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(key, shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, count, band_mass, n_head = known.value
+        items = _items(key, known.value)
+        logs = dict(zip(words, np.log10(count + SMOOTH).tolist()))
+        at = TaskContext.get().partitionId() << 33
+        schema = pa.schema([(n, t) for n, t in zip(READ.replace(",", "").split()[::2], [pa.int64(), pa.string(), *[pa.int64()] * 3, pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])])
+        texts, rest = [], ([], [], [])
+
+        def flush():
+            columns = [*zip(*texts)]
+            n, k = len(texts), len(rest[0])
+            by_name = dict(zip(("row", "doc_id", "portion", "n_tokens", "n_known", "base", "ids", "round"), columns))
+            yield pa.RecordBatch.from_arrays([pa.array(by_name[f.name], f.type) if f.name in by_name else pa.nulls(n, f.type) for f in schema], schema=schema)
+            by_name = {"row": rest[0], "word": rest[1], "tf": rest[2], "round": np.full(k, BEYOND)}
+            yield pa.RecordBatch.from_arrays([pa.array(by_name[f.name], f.type) if f.name in by_name else pa.nulls(k, f.type) for f in schema], schema=schema)
+
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 piece = batch.slice(a, 256).to_pydict()
-                rows = [(i, p, t) for i, p, t in zip(piece["doc_id"], piece["portion"], piece["text"]) if not held_out(i)]
-                ids = [items.ids(tokens(t)).astype("<u2").tobytes() for _, _, t in rows]
-                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(ids, pa.binary()), pa.array([r[1] % rounds for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "portion", "ids", "round"])
+                for doc_id, portion, text in zip(piece["doc_id"], piece["portion"], piece["text"]):
+                    ws = tokens(text)
+                    values = list(map(logs.get, ws))
+                    n_beyond = values.count(None)
+                    if n_beyond:
+                        times = Counter(w for w, v in zip(ws, values) if v is None)
+                        rest[0].extend([at] * len(times))
+                        rest[1].extend(times)
+                        rest[2].extend(times.values())
+                        values = [v for v in values if v is not None]
+                    texts.append((at, doc_id, portion, len(ws), len(values), math.fsum(values), items.ids(ws).astype("<u2").tobytes(), HELD_OUT if held_out(doc_id) else portion % rounds))
+                    at += 1
+                if len(rest[0]) > 50_000 or len(texts) >= 2_000:
+                    yield from flush()
+                    texts, rest = [], ([], [], [])
+        if texts:
+            yield from flush()
 
     dealt = _texts(docs).withColumn("portion", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.coalesce("text", F.lit(""))), F.lit(portions)))
-    schema = "doc_id string, portion long, ids binary, round long"
-    path = scratch(spark)
-    dealt.mapInArrow(lean(read), schema).write.partitionBy("round").parquet(path)
-    table = spark.read.schema(schema).parquet(path)
-    model = Model(items)
+    path = scratch(docs.sparkSession)
+    dealt.mapInArrow(lean(run), READ).write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(READ).parquet(path)
+
+
+def train(table: DataFrame, items: Items, known, portions: int, rounds: int) -> Model:
+    """One pass over the training tokens, in rounds of portions."""
+    key, model = uuid.uuid4().hex, Model(items)
     for at in range(rounds):
-        model = _round(table.where(F.col("round") == at), model, shared, key, -(-(portions - at) // rounds), rounds)
-    drop_table(table)
-    shared.unpersist()
+        model = _round(table.where(F.col("round") == at), model, known, key, -(-(portions - at) // rounds), rounds)
     return model
 
 
@@ -391,7 +430,7 @@ def _round(rows: DataFrame, model: Model, words, key: str, portions: int, rounds
     # Two steps of sums: about sqrt(portions) models in each.
     salts = max(1, round(portions**0.5))
     dealt = rows.repartitionById(portions, F.floor(F.col("portion") / rounds).cast("int")).sortWithinPartitions("portion", "doc_id", "ids")
-    models = dealt.select("portion", "ids").mapInArrow(lean(run), schema)
+    models = dealt.select("portion", "ids").mapInArrow(lean(run, KEEP), schema)
     halves = models.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("salt", "block").applyInArrow(add, schema)
     done = halves.withColumn("salt", F.lit(0).cast("long")).groupBy("salt", "block").applyInArrow(add, schema).collect()  # one model
     start.unpersist()
@@ -411,8 +450,8 @@ def _items(key: str, words: tuple) -> Items:
     return _held[key]
 
 
-def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
-    """Words by falling count, HEAD at most, their counts, and the least count.
+def _known(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
+    """Words by falling count, KNOWN at most, their counts, and the least count.
 
     They are those from a count on. It is found from a histogram of the counts'
     logarithms (some hundred rows), then from one of the counts in the step where
@@ -422,10 +461,10 @@ def _head(vocabulary: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
     number = F.count(F.lit(1)).alias("n")
     least, held = None, 0
     for at, n, c in sorted(map(tuple, vocabulary.groupBy(step).agg(number, F.min("c")).collect()), reverse=True):
-        if held + n > HEAD:
+        if held + n > KNOWN:
             for c, n in sorted(map(tuple, vocabulary.where(step == at).groupBy("c").agg(number).collect()), reverse=True):
                 held += n
-                if held > HEAD:
+                if held > KNOWN:
                     break
                 least = c
             break
@@ -444,95 +483,70 @@ def score(docs: DataFrame) -> DataFrame:
     vocabulary = cut(counts(docs))
     whole = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = int(whole["n"] or 0), int(whole["v"])
-    words, count, least = _head(vocabulary)
-    band = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(BANDS)).alias("band")
+    words, count, least = _known(vocabulary)
+    n_head = min(HEAD, len(words))
     band_mass, band_types = np.zeros(BANDS), np.zeros(BANDS)
+    for w, c in zip(words[n_head:], count[n_head:]):
+        band_mass[band_of(w)] += c
+        band_types[band_of(w)] += 1
+    band = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(BANDS)).alias("band")
     for r in vocabulary.where(F.col("c") < least).groupBy(band).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        band_mass[r["band"]], band_types[r["band"]] = r["c"], r["n"]
-    known = (words, count, band_mass)
-    items = Items(*known)
-    model = train(docs, items, known, n_train)
-    shared = spark.sparkContext.broadcast((known, band_types, model.flat()))
+        band_mass[r["band"]] += r["c"]
+        band_types[r["band"]] += r["n"]
+    known = spark.sparkContext.broadcast((words, count, band_mass, n_head))
+    portions = max(1, -(-n_train // PORTION))
+    rounds = min(ROUNDS, portions)
+    table = read(docs, known, portions, rounds)
+    items = Items(words, count, band_mass, n_head)
+    model = train(table, items, known, portions, rounds)
+    shared = spark.sparkContext.broadcast((band_types, model.flat()))
     key = uuid.uuid4().hex
     base_mass = n_train + SMOOTH * (n_types + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, band_types, flat = shared.value
-        words, count, band_mass = known
-        items = _items(key, known)
+        band_types, flat = shared.value
+        words, count, band_mass, n_head = known.value
+        items = _items(key, known.value)
         model = Model(items).use(flat)
-        # By item: log10(count + 0.1) of a word, 0 for a band, whose words' counts
-        # come by the join; and what a band's word pays for the choice in its band.
-        logs, share, own = np.zeros(items.n), np.zeros(items.n), np.ones(items.n, bool)
-        logs[[items.of_word[w] for w in words]] = np.log10(count + SMOOTH)
-        own[items.of_band], share[items.of_band] = False, -np.log10(band_mass + SMOOTH * (band_types + 1))
-        at = TaskContext.get().partitionId() << 33
-        docs_, rest, held, size = [], ([], [], []), [], 0
-
-        def settle():
-            """Scores of the texts held."""
-            nonlocal held, size
-            if not held:
-                return
-            target = np.concatenate([ids for _, ids in held])
-            doc = np.repeat(np.arange(len(held)), [len(ids) for _, ids in held])
-            context = np.concatenate([contexts(ids, items.end) for _, ids in held])
-            total = np.zeros(len(held))
-            for a in range(0, len(target), 8 * BATCH):
-                t = target[a : a + 8 * BATCH]
-                order = np.argsort(t, kind="stable")
-                t, d = t[order], doc[a : a + 8 * BATCH][order]
-                value = model.log_p(context[a : a + 8 * BATCH][order], t) / np.log(10)
-                total += np.bincount(d, value + share[t] + logs[t] * ~own[t], len(held))
-            base = np.bincount(doc, logs[target], len(held))
-            docs_.extend((*head, float(b), float(m)) for (head, _), b, m in zip(held, base, total))
-            held, size = [], 0
-
-        def flush():
-            rows = list(zip(*docs_)) or [[]] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["row", "doc_id", "n_tokens", "n_known", "base", "model"]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types)), pa.nulls(len(docs_), pa.binary()), pa.nulls(len(docs_), pa.int64())], [*names, "word", "tf"])
-            nulls = (pa.nulls(len(rest[0]), t) for t in types[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(rest[0], pa.int64()), *nulls, pa.array(rest[1], pa.binary()), pa.array(rest[2], pa.int64())], [*names, "word", "tf"])
-
-        for doc_id, text in _rows(batches):
-            ws = tokens(text)
-            ids = items.ids(ws)
-            beyond = np.flatnonzero(~own[ids]).tolist()
-            held.append(((at, doc_id, len(ws), len(ws) - len(beyond)), ids))
-            size += len(ws)
-            if beyond:
-                times = Counter(map(ws.__getitem__, beyond))
-                rest[0].extend([at] * len(times))
-                rest[1].extend(times)
-                rest[2].extend(times.values())
-            at += 1
-            if size >= 8 * BATCH:
-                settle()
-            if len(rest[0]) > 50_000 or len(docs_) >= 5_000:
-                settle()
-                yield from flush()
-                docs_, rest = [], ([], [], [])
-        settle()
-        if docs_:
-            yield from flush()
-
-    scored = cut(_texts(docs).mapInArrow(lean(run), "row long, doc_id string, n_tokens long, n_known long, base double, model double, word binary, tf long"))
-    # The counts of bands' words. Those seen in training are found in
+        # What a band's word pays for the choice in its band; its smoothed count is
+        # in the base score's sum, and head words' there are taken off.
+        share = np.zeros(items.n)
+        share[[items.of_word[w] for w in words[:n_head]]] = -np.log10(count[:n_head] + SMOOTH)
+        share[items.of_band] = -np.log10(band_mass + SMOOTH * (band_types + 1))
+        for batch in batches:
+            texts = [np.frombuffer(i, "<u2") for i in batch.column(2).to_pylist()]
+            total, first = np.zeros(len(texts)), 0
+            while first < len(texts):
+                last, size = first + 1, len(texts[first])
+                while last < len(texts) and size < 8 * BATCH:
+                    size += len(texts[last])
+                    last += 1
+                target = np.concatenate(texts[first:last])
+                doc = np.repeat(np.arange(first, last), [len(i) for i in texts[first:last]])
+                context = np.concatenate([contexts(i, items.end) for i in texts[first:last]])
+                for a in range(0, len(target), 8 * BATCH):
+                    order = np.argsort(target[a : a + 8 * BATCH], kind="stable") + a
+                    t = target[order]
+                    total += np.bincount(doc[order], model.log_p(context[order], t) / np.log(10) + share[t], len(texts))
+                first = last
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), batch.column(5), pa.array(total)], ["row", "doc_id", "n_tokens", "n_known", "base", "model"])
+
+    texts = table.where(F.col("round") >= HELD_OUT).select("row", "doc_id", "ids", "n_tokens", "n_known", "base")
+    rows = texts.mapInArrow(lean(run, KEEP), "row long, doc_id string, n_tokens long, n_known long, base double, model double")
+    # The exact way for words beyond the known ones. Those seen in training are in
     # the vocabulary; the others have count 0.
-    rare = scored.where("word IS NOT NULL").select("row", "word", "tf").join(vocabulary, "word", "left")
+    rare = table.where(F.col("round") == BEYOND).select("row", "word", "tf").join(vocabulary, "word", "left")
     log_count = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))
     extra = rare.groupBy("row").agg(F.sum(F.col("tf") * log_count).alias("extra"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("found"))
-    rows = scored.where("word IS NULL").drop("word", "tf").join(extra, "row", "left")
-    more = F.coalesce(F.col("extra"), F.lit(0.0))
+    both = rows.join(extra, "row", "left")
+    base = F.col("base") + F.coalesce(F.col("extra"), F.lit(0.0))
     doc_type = docs.schema["doc_id"].dataType
-    return rows.select(
+    return both.select(
         F.col("doc_id").cast(doc_type).alias("doc_id"),
         (F.crc32(F.coalesce("doc_id", F.lit(""))) % 10 == 0).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(float(np.log10(base_mass)))).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (base - F.col("n_tokens") * F.lit(float(np.log10(base_mass)))).alias("base_score"),
+        (F.col("model") + base).alias("score"),
     )

@@ -32,9 +32,10 @@ def check(got, rows):
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
 
 
-@pytest.mark.parametrize("head", [200_000, 30, 0])
+@pytest.mark.parametrize("head", [60_000, 30, 0])
 def test_scores_and_the_shuffle_join_beyond_the_head(spark, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "KNOWN", 2 * head)
     monkeypatch.setattr(lm, "FLUSH_WORDS", 25)
     rng = random.Random(1)
     rows = texts(rng, 400) + [(1000, None), (1001, ""), (1002, "Ünseen WORD"), (1003, "A1 a1\x0bB2")]
@@ -43,7 +44,7 @@ def test_scores_and_the_shuffle_join_beyond_the_head(spark, monkeypatch, head):
     held = [r for r in got.values() if r["held_out"]]
     base, model = sum(r["base_score"] for r in held), sum(r["score"] for r in held)
     assert model <= 0
-    if head == 200_000:
+    if head == 60_000:
         assert model > base + 0.02 * sum(r["n_tokens"] for r in held)
 
 
@@ -51,9 +52,10 @@ def test_score_equals_a_plain_sum_over_all_items(spark, monkeypatch):
     """Each token's probability by a softmax over classes and one over the class's
     items, written out token by token."""
     monkeypatch.setattr(lm, "HEAD", 30)
+    monkeypatch.setattr(lm, "KNOWN", 50)
     kept = {}
     train = lm.train
-    monkeypatch.setattr(lm, "train", lambda docs, items, *rest: kept.setdefault("m", train(docs, items, *rest)))
+    monkeypatch.setattr(lm, "train", lambda table, items, *rest: kept.setdefault("m", train(table, items, *rest)))
     rows = texts(random.Random(5), 60) + [(900, "never seen"), (901, "a1 " * 9000)]
     got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     m, items = kept["m"], kept["m"].items
@@ -99,7 +101,7 @@ def test_scores_do_not_depend_on_partitions_or_order(spark, monkeypatch):
 
 def small_items(n=9):
     words = [b"w%d" % i for i in range(n)]
-    return lm.Items(words, np.array([50.0 / (i + 1) for i in range(n)]), np.full(lm.BANDS, 0.5)), words
+    return lm.Items(words, np.array([50.0 / (i + 1) for i in range(n)]), np.full(lm.BANDS, 0.5), n), words
 
 
 def test_probabilities_sum_to_one():
@@ -130,11 +132,11 @@ def test_noise_contrast_learns_which_word_follows(back):
     assert sure.mean() > np.log(0.4)
 
 
-def test_ties_at_the_border_of_the_head(spark, monkeypatch):
+def test_ties_at_the_border_of_the_known_words(spark, monkeypatch):
     counted = spark.createDataFrame([(b"a", 9), (b"b", 5), (b"c", 5), (b"d", 5), (b"e", 1)], "word binary, c long")
     for head, want in ((0, []), (1, [b"a"]), (3, [b"a"]), (4, [b"a", b"b", b"c", b"d"]), (9, [b"a", b"b", b"c", b"d", b"e"])):
-        monkeypatch.setattr(lm, "HEAD", head)
-        words, count, least = lm._head(counted)
+        monkeypatch.setattr(lm, "KNOWN", head)
+        words, count, least = lm._known(counted)
         assert words == want and all(c >= least for c in count)
         assert counted.where(f"c >= {least}").count() == len(want)
 
