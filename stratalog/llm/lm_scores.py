@@ -64,7 +64,7 @@ FLUSH_WORDS = 500_000
 PORTION, ROUNDS = 4_000_000, 3
 #: Training: tokens of a batch, noise classes of a batch, noise items of a token,
 #: rate, start's seed.
-BATCH, NOISE_CLASSES, NOISE_ITEMS, RATE, SEED = 4_096, 48, 3, 0.2, 7
+BATCH, NOISE_CLASSES, NOISE_ITEMS, RATE, SEED = 4_096, 32, 2, 0.2, 7
 #: Floats of a block of a model on its way, of products held at once.
 BLOCK, CELLS = 1 << 18, 1 << 17
 #: Bytes that a worker may keep while it trains or scores.
@@ -118,18 +118,17 @@ def band_of(word: bytes) -> int:
 
 
 class _Places(dict):
-    """Items of words; a word without one of its own gets its band's."""
-
-    def __init__(self, pairs, of_band: list[int]):
-        super().__init__(pairs)
-        self.of_band = of_band
+    """Places of known words; of any other, the number of known words plus its band."""
 
     def __missing__(self, word: bytes) -> int:
-        return self.of_band[zlib.crc32(word[-3:]) % BANDS]
+        return len(self) + zlib.crc32(word[-3:]) % BANDS
 
 
 class Items:
-    """Head words and bands, numbered by falling mass, and their classes."""
+    """Head words and bands, numbered by falling mass, and their classes.
+
+    ``of_place``: the item of each known word, then of each band.
+    """
 
     def __init__(self, words: list[bytes], count: np.ndarray, band_mass: np.ndarray, n_words: int):
         """Known words and their counts, the ``n_words`` of the head first; counts of
@@ -139,7 +138,9 @@ class Items:
         place = np.empty(len(mass), np.int64)
         place[order] = np.arange(len(mass))
         self.of_band = place[n_words:]
-        self.of_word = _Places(zip(words[:n_words], place[:n_words].tolist()), self.of_band.tolist())
+        self.places = _Places(zip(words, range(len(words))))
+        beyond = [self.of_band[band_of(w)] for w in words[n_words:]]
+        self.of_place = np.concatenate([place[:n_words], np.array(beyond, np.int64), self.of_band]).astype(np.uint16)
         self.n = len(mass)
         p = (mass + SMOOTH)[order]
         p /= p.sum()
@@ -153,10 +154,11 @@ class Items:
         self.end = self.item(END)
 
     def item(self, word: bytes) -> int:
-        return self.of_word[word]
+        return int(self.of_place[self.places[word]])
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.of_word.__getitem__, words), np.uint16, len(words))
+    def look(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place."""
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
 
 def contexts(ids: np.ndarray, end: int) -> np.ndarray:
@@ -334,7 +336,7 @@ def read(docs: DataFrame, known, portions: int, rounds: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count, band_mass, n_head = known.value
         items = _items(key, known.value)
-        logs = dict(zip(words, np.log10(count + SMOOTH).tolist()))
+        logs, n_known = np.concatenate([np.log10(count + SMOOTH), np.zeros(BANDS)]), len(words)
         at = TaskContext.get().partitionId() << 33
         schema = pa.schema([(n, t) for n, t in zip(READ.replace(",", "").split()[::2], [pa.int64(), pa.string(), *[pa.int64()] * 3, pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()])])
         texts, rest = [], ([], [], [])
@@ -352,15 +354,15 @@ def read(docs: DataFrame, known, portions: int, rounds: int) -> DataFrame:
                 piece = batch.slice(a, 256).to_pydict()
                 for doc_id, portion, text in zip(piece["doc_id"], piece["portion"], piece["text"]):
                     ws = tokens(text)
-                    values = list(map(logs.get, ws))
-                    n_beyond = values.count(None)
-                    if n_beyond:
-                        times = Counter(w for w, v in zip(ws, values) if v is None)
+                    places = items.look(ws)
+                    beyond = np.flatnonzero(places >= n_known).tolist()
+                    if beyond:
+                        times = Counter(map(ws.__getitem__, beyond))
                         rest[0].extend([at] * len(times))
                         rest[1].extend(times)
                         rest[2].extend(times.values())
-                        values = [v for v in values if v is not None]
-                    texts.append((at, doc_id, portion, len(ws), len(values), math.fsum(values), items.ids(ws).astype("<u2").tobytes(), HELD_OUT if held_out(doc_id) else portion % rounds))
+                    ids = items.of_place[places].astype("<u2", copy=False).tobytes()
+                    texts.append((at, doc_id, portion, len(ws), len(ws) - len(beyond), float(logs[places].sum()), ids, HELD_OUT if held_out(doc_id) else portion % rounds))
                     at += 1
                 if len(rest[0]) > 50_000 or len(texts) >= 2_000:
                     yield from flush()
@@ -511,7 +513,7 @@ def score(docs: DataFrame) -> DataFrame:
         # What a band's word pays for the choice in its band; its smoothed count is
         # in the base score's sum, and head words' there are taken off.
         share = np.zeros(items.n)
-        share[[items.of_word[w] for w in words[:n_head]]] = -np.log10(count[:n_head] + SMOOTH)
+        share[items.of_place[:n_head]] = -np.log10(count[:n_head] + SMOOTH)
         share[items.of_band] = -np.log10(band_mass + SMOOTH * (band_types + 1))
         for batch in batches:
             texts = [np.frombuffer(i, "<u2") for i in batch.column(2).to_pylist()]
