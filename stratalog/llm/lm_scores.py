@@ -66,7 +66,7 @@ PORTION, ROUNDS = 4_000_000, 3
 #: rate, start's seed.
 BATCH, NOISE_CLASSES, NOISE_ITEMS, RATE, SEED = 4_096, 32, 2, 0.2, 7
 #: Floats of a block of a model on its way, of products held at once.
-BLOCK, CELLS = 1 << 18, 1 << 17
+BLOCK, CELLS = 1 << 16, 1 << 17
 #: Bytes that a worker may keep while it trains or scores.
 KEEP = 32 << 20
 #: The end's key: no word has a space.
