@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer's file, in batches.
 
-Ids equal those of the ``tokenizers`` library's ``encode`` on the whole text
-(tested, special tokens' strings being ordinary text). Most ids are found
-faster:
+Ids equal those of the ``tokenizers`` library's ``encode`` on the whole text, with
+add_special_tokens=False and nothing else set (tested against it): a special
+token's string within a text becomes that token. Most ids are found faster:
 
 * They are merged by tiktoken's engine, given the file's vocabulary as ranks. It
   merges any two neighbours whose joint string is a token, the library only
@@ -11,7 +11,8 @@ faster:
 * The "word" kind drops white space, so a chunk between spaces has the same ids
   wherever it stands: each distinct chunk of a batch is encoded once and the ids
   are gathered by numpy. Nothing is kept between batches.
-* Texts outside the range for which this holds go to the library whole.
+* Texts outside the range for which this holds, and texts with a special token's
+  string in upper or lower case, go to the library whole.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ WORD_PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x0b\x{85}\x{a0}\p{L}\
 END = "\x01"
 # Below U+0250 nothing composes and lower case doesn't depend on neighbours.
 _BEYOND = re.compile(r"[^\x02-\x1b\x20-ɏ]")
+
+
 def public_path(kind: str) -> str:
     import public_tokenizers
 
@@ -71,11 +74,12 @@ class ChunkTokenizer:
 
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path or public_path(kind))
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         special = {str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        # In any case: the file may look for them in lower-cased text.
+        self.special = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)", re.IGNORECASE).search
         table = ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special})
         pattern = BYTE_PATTERN if kind == "byte" else f"[^{END}]*{END}"
         self.merge = tiktoken.Encoding(kind, pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -113,8 +117,8 @@ class ChunkTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed integers (``self.code``, native order)."""
         if self.kind == "byte":
-            return [array(self.code, self.merge(t)).tobytes() for t in texts]
-        beyond = [_BEYOND.search(t) is not None for t in texts]
+            return [self._library(t).tobytes() if self.special(t) else array(self.code, self.merge(t)).tobytes() for t in texts]
+        beyond = [_BEYOND.search(t) is not None or self.special(t) is not None for t in texts]
         out = [self._library(t).tobytes() if far else b"" for t, far in zip(texts, beyond)]
         safe = [i for i, far in enumerate(beyond) if not far]
         if not safe:
