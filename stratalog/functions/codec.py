@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from stratalog.functions.bits import BitReader, BitWriter
+from stratalog.tables import number_within
 
 # Fixed values of the format: bucket, prefix bits, payload bits.
 BUCKETS = (("NoChange", "0", 0), ("Bits7", "10", 7), ("Bits9", "110", 9), ("Bits16", "1110", 16), ("Bits32", "11110", 32), ("Bits64", "111110", 64))
@@ -113,10 +114,10 @@ def read_value(bits: BitReader) -> int:
     return -size if raw >> (width - 1) else size
 
 
-def encode(values: Iterable[int]) -> tuple[bytes, int, int]:
-    """(stream, bits used, number of values). Keep the number: zeros that pad the
-    stream read as further values."""
-    bits, last, delta, n = BitWriter(), 0, 0, 0
+def encode(values: Iterable[int], last: int = 0, delta: int = 0) -> tuple[bytes, int, int]:
+    """(stream, bits used, number of values) after a value and a difference. Keep
+    the number: zeros that pad the stream read as further values."""
+    bits, n = BitWriter(), 0
     for value in values:
         value = int(value)
         if not -LONGEST - 1 <= value - last <= LONGEST:
@@ -127,8 +128,8 @@ def encode(values: Iterable[int]) -> tuple[bytes, int, int]:
     return bits.finish(), bits.bits_written, n
 
 
-def decode(stream: bytes, n: int) -> Iterator[int]:
-    bits, value, delta = BitReader(stream), 0, 0
+def decode(stream: bytes, n: int, last: int = 0, delta: int = 0) -> Iterator[int]:
+    bits, value = BitReader(stream), last
     for _ in range(n):
         delta += read_value(bits)
         value += delta
@@ -137,7 +138,7 @@ def decode(stream: bytes, n: int) -> Iterator[int]:
 
 def encode_series(df: DataFrame, by: list[str], order: str, value: str = "value") -> DataFrame:
     """(by, n, n_bits, payload) of every series. A series is encoded in one task,
-    as its code is sequential."""
+    as one stream is sequential; ``encode_blocks`` splits long ones."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,6 +150,51 @@ def encode_series(df: DataFrame, by: list[str], order: str, value: str = "value"
     return df.select(*by, order, value).groupBy(*by).applyInPandas(run, schema)
 
 
+#: Values of a block.
+BLOCK = 65_536
+
+
+def encode_blocks(df: DataFrame, by: list[str], order: str, value: str = "value", size: int = BLOCK) -> DataFrame:
+    """(by, block, last, delta, n, n_bits, payload): every series in blocks of
+    ``size`` values, each with the value and difference before it, so that a series
+    with any share of the rows spreads over many tasks and blocks are decoded each
+    for itself. The blocks' bits, one after another, are the series' stream."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    numbered = number_within(df.select(*by, order, value), by, [order], "i")
+    # A block's last two values go to the next block too, where they only set its
+    # start.
+    here = F.floor(F.col("i") / size).cast("long")
+    ends = F.col("i") % size >= size - 2
+    dealt = numbered.withColumn("block", F.explode(F.when(ends, F.array(here, here + 1)).otherwise(F.array(here))))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i", kind="stable")
+        block = int(rows["block"].iloc[0])
+        ahead, own = rows[rows["i"] < block * size][value].tolist(), rows[rows["i"] >= block * size]
+        before = [0, *ahead][-2:] if ahead else [0, 0]
+        last, delta = before[-1], before[-1] - before[0]
+        stream, n_bits, n = encode(own[value], last, delta)
+        coded = pd.DataFrame({**{k: [rows[k].iloc[0]] for k in by}, "block": [block], "last": [last], "delta": [delta], "n": [n], "n_bits": [n_bits], "payload": [stream]})
+        return coded if n else coded[:0]  # no block begins after the series' end
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "block long, last long, delta long, n long, n_bits long, payload binary"])
+    return dealt.groupBy(*by, "block").applyInPandas(run, schema)
+
+
+def decode_blocks(encoded: DataFrame, by: list[str], size: int = BLOCK) -> DataFrame:
+    """(by, i, value) of every block."""
+    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                values = list(decode(bytes(row.payload), int(row.n), int(row.last), int(row.delta)))
+                first = int(row.block) * size
+                yield pd.DataFrame({**{k: [getattr(row, k)] * len(values) for k in by}, "i": range(first, first + len(values)), "value": values}).astype({"i": "int64", "value": "int64"})
+
+    return encoded.select(*by, "block", "last", "delta", "n", "payload").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "i long", "value long"]))
+
+
 @udtf(returnType=T.StructType([T.StructField("i", T.LongType()), T.StructField("value", T.LongType())]))
 class DecodeSeries:
     """decode_series(payload, n): rows (i, value)."""

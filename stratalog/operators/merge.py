@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.operators.log import newest
@@ -42,11 +42,10 @@ class FixedFanIn:
     fan_in: int = 2
 
     def choose(self, manifest: DataFrame) -> DataFrame:
-        # One row per run: the manifest is small by nature.
-        from pyspark.sql import Window
-
+        # One row per run: the manifest is small by nature. A merged run is as old as
+        # what it holds, not as its id.
         live = manifest.where("state = 'live'") if "state" in manifest.columns else manifest
-        rank = F.row_number().over(Window.orderBy("run_id")) - 1
+        rank = F.row_number().over(Window.orderBy(*(["created_seq"] if "created_seq" in live.columns else []), "run_id")) - 1
         ranked = live.select("run_id", rank.alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
         full = F.floor(F.col("n") / self.fan_in) * self.fan_in
         return ranked.where(F.col("rank") < full).select("run_id", F.floor(F.col("rank") / self.fan_in).cast("long").alias("group_id"))

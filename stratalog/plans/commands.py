@@ -8,10 +8,11 @@ payload): bulk 'OK' or the value, null, or an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators.log import before
+from stratalog.tables import count_before
 
 UNKNOWN = "Unknown command"
 
@@ -30,15 +31,13 @@ def verb() -> Column:
 def as_log(commands: DataFrame, generations: bool = True) -> DataFrame:
     """The change log of the commands. run_id: how many FLUSHALL came before; of
     the generation after the last one it is null."""
-    value = F.when(F.col("verb") == "SET", F.get("args", F.lit(1)))
-    writes = commands.withColumn("verb", verb())
+    rows, flushes = commands.withColumn("verb", verb()), 0
+    run = F.lit(None).cast("long")
     if generations:
-        # One row per flush, broadcast by Spark below its threshold.
-        flushes = writes.where("verb = 'FLUSHALL'").select(F.col("seq").alias("flushed"))
-        ordered = flushes.withColumn("run", F.row_number().over(Window.orderBy("flushed")) - 1).withColumn("since", F.coalesce(F.lag("flushed").over(Window.orderBy("flushed")), F.lit(-(1 << 63))))
-        writes = writes.join(ordered, (F.col("seq") > F.col("since")) & (F.col("seq") < F.col("flushed")), "left")
-    run = F.col("run").cast("long") if generations else F.lit(None).cast("long")
-    return writes.where("verb IN ('SET', 'DEL')").select("seq", F.get("args", F.lit(0)).alias("key"), value.alias("value"), (F.col("verb") == "DEL").alias("is_tombstone"), run.alias("run_id"))
+        rows, flushes = count_before(rows, "seq", F.col("verb") == "FLUSHALL", "run")
+        run = F.when(F.col("run") < flushes, F.col("run"))
+    value = F.when(F.col("verb") == "SET", F.get("args", F.lit(1)))
+    return rows.where("verb IN ('SET', 'DEL')").select("seq", F.get("args", F.lit(0)).alias("key"), value.alias("value"), (F.col("verb") == "DEL").alias("is_tombstone"), run.alias("run_id"))
 
 
 def replay(commands: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stratalog.operators.log import memtable_size, run_entries
-from stratalog.plans.commands import as_log, verb
+from stratalog.operators.log import before, memtable_size, run_entries
+from stratalog.plans.commands import verb
+from stratalog.tables import count_before
 
 
 def flush_metrics(log: DataFrame) -> DataFrame:
@@ -29,21 +30,12 @@ def read_metrics(commands: DataFrame) -> DataFrame:
     A GET counts as from memory if the newest operation of its key in the
     generation it falls into is a put.
     """
-    log = as_log(commands)
-    gets = commands.withColumn("verb", verb()).where("verb = 'GET'").select("seq", F.get("args", F.lit(0)).alias("key"))
-    flushes = commands.withColumn("verb", verb()).where("verb = 'FLUSHALL'").select("seq")
-    from pyspark.sql import Window
-
-    # All on one key-wise line: writes, GETs, and for each key the flushes between
-    # are found by comparing the last write with the last flush before the GET.
-    both = log.select("seq", "key", (~F.col("is_tombstone")).alias("put"), F.lit(False).alias("asks")).unionByName(gets.select("seq", "key", F.lit(None).cast("boolean").alias("put"), F.lit(True).alias("asks")))
-    ahead = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(~F.col("asks"), F.struct(F.col("seq").alias("at"), "put")), ignorenulls=True).over(ahead)
-    asked = both.withColumn("w", last).where("asks").select("seq", "w")
-    between = asked.join(flushes.select(F.col("seq").alias("flushed")), (F.col("flushed") > F.col("w.at")) & (F.col("flushed") < F.col("seq")), "left_semi").select(F.col("seq").alias("stale"))
-    marked = asked.join(between, asked["seq"] == between["stale"], "left")
-    hit = F.coalesce(F.col("w.put"), F.lit(False)) & F.col("stale").isNull()
-    return marked.agg(F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias("fetched_from_memory"), F.coalesce(F.sum((~hit).cast("long")), F.lit(0)).alias("fetched_from_disk"))
+    rows, _ = count_before(commands.withColumn("verb", verb()), "seq", F.col("verb") == "FLUSHALL", "run")
+    keyed = rows.where("verb IN ('SET', 'DEL', 'GET')").select("seq", "verb", "run", F.get("args", F.lit(0)).alias("key"))
+    write = F.when(F.col("verb") != "GET", F.struct("run", (F.col("verb") == "SET").alias("put")))
+    asked = keyed.withColumn("w", before(write, [F.col("seq")])).where("verb = 'GET'")
+    hit = F.coalesce((F.col("w.run") == F.col("run")) & F.col("w.put"), F.lit(False))
+    return asked.agg(F.coalesce(F.sum(hit.cast("long")), F.lit(0)).alias("fetched_from_memory"), F.coalesce(F.sum((~hit).cast("long")), F.lit(0)).alias("fetched_from_disk"))
 
 
 def observed(df: DataFrame, name: str = "engine") -> tuple[DataFrame, Observation]:

@@ -13,11 +13,6 @@ CHANGE_LOG = T.StructType([
     T.StructField("is_tombstone", T.BooleanType(), False),
     T.StructField("run_id", T.LongType(), True),  # null: still in the open generation
 ])
-RUN_ENTRY = T.StructType([CHANGE_LOG[n] for n in ("key", "value", "is_tombstone", "seq", "run_id")])
-LAYOUT = "run_id long, key binary, key_pos long, key_len long, val_pos long, val_len long"
-MANIFEST = "run_id long, path string, n_keys long, n_tombstones long, min_key binary, max_key binary, total_bytes long, created_seq long, state string"
-COMMANDS = "seq long, cmd string, args array<binary>"
-REPLIES = "seq long, kind string, payload binary"
 
 
 def change_log(df: DataFrame, seq: Column, key: Column, value: Column, deleted: Column | None = None, run_id: Column | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from stratalog.functions.layout import decode_value, encode_pointer, encode_value
@@ -79,6 +81,43 @@ def lookup(path: str, key: bytes) -> tuple[bool, bytes | None]:
     return False, None
 
 
+def encode_files(entries: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, file): each run's entries (binary keys and values) as a raw file. A
+    file is one value, so a run has to fit in a task; the store's runs do."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key", kind="stable")
+        pairs = ((bytes(k), None if gone else bytes(v or b"")) for k, v, gone in zip(rows["key"], rows["value"], rows["is_tombstone"]))
+        return pd.DataFrame({by: [rows[by].iloc[0]], "file": [encode_run(pairs)]})
+
+    return entries.select(by, "key", "value", "is_tombstone").groupBy(by).applyInPandas(run, f"`{by}` long, file binary")
+
+
+def decode_files(files: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, key, value, is_tombstone, file_bytes) of raw files, in key order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for run_id, data in zip(batch[by], batch["file"]):
+                pairs = list(decode_run(bytes(data)))
+                yield pd.DataFrame({by: run_id, "key": [k for k, _ in pairs], "value": [v for _, v in pairs], "is_tombstone": [v is None for _, v in pairs], "file_bytes": len(data)})
+
+    return files.mapInPandas(run, f"`{by}` long, {SCHEMA}, file_bytes long")
+
+
+def read_pointers(files: DataFrame, pointers: DataFrame, by: str = "run_id") -> DataFrame:
+    """(by, key, value, is_tombstone) of what ``pointers`` (by, key, val_pos, val_len)
+    point at. Each file is opened once, in the task that has its pointers."""
+
+    def run(pointed: pd.DataFrame, file: pd.DataFrame) -> pd.DataFrame:
+        data = bytes(file["file"].iloc[0])
+        values = [decode_value(data[p : p + n]) for p, n in zip(pointed["val_pos"], pointed["val_len"])]
+        return pd.DataFrame({by: pointed[by], "key": pointed["key"], "value": values, "is_tombstone": [v is None for v in values]})
+
+    sides = pointers.groupBy(by).cogroup(files.groupBy(by))
+    return sides.applyInPandas(run, f"`{by}` long, {SCHEMA}")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

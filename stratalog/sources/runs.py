@@ -3,11 +3,14 @@
 The manifest is a table of versions: ``manifest/v=<n>`` holds the complete list of
 runs of version n. A change writes the next version, so readers see a merge
 whole or not at all: new runs in, old ones retired. Folders of retired runs are
-deleted by ``vacuum`` only.
+deleted by ``vacuum`` only. A folder without Spark's _SUCCESS was left by a writer
+that died: it isn't a run (or a version), and the next write to it replaces it. One
+writer at a time; readers need no lock.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +20,7 @@ from stratalog.functions.layout import encoded_length
 from stratalog.operators import merge
 from stratalog.operators.log import run_entries
 
-MANIFEST_COLUMNS = "run_id long, path string, n_keys long, n_tombstones long, min_key binary, max_key binary, total_bytes long, created_seq long, state string"
+MANIFEST_COLUMNS = "run_id long, path string, n_keys long, n_tombstones long, min_key binary, max_key binary, total_bytes long, created_seq long, state string, min_seq long"
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,8 @@ class RunOptions:
     files_per_run: int = 1
     bloom_filter: bool = False
     strategy: merge.Strategy = field(default_factory=merge.FixedFanIn)
+    #: Called with (ids merged, new id) after each merge that a version made live.
+    on_merge: Callable[[list[int], int], None] | None = None
 
 
 class RunStore:
@@ -39,14 +44,22 @@ class RunStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _whole(self, path: str) -> bool:
+        fs, p = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(p)
+
+    def _clear_torn(self, path: str) -> None:
+        if not self._whole(path):
+            fs, p = self._fs(path)
+            fs.delete(p, True)
+
     def version(self) -> int:
         """0: nothing written yet."""
         fs, path = self._fs(f"{self.root}/manifest")
         if not fs.exists(path):
             return 0
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=0)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return max((int(n[2:]) for n in names if n.startswith("v=") and self._whole(f"{self.root}/manifest/{n}")), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         n = self.version() if version is None else version
@@ -56,6 +69,7 @@ class RunStore:
 
     def _commit(self, manifest: DataFrame) -> int:
         n = self.version() + 1
+        self._clear_torn(f"{self.root}/manifest/v={n}")
         manifest.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/manifest/v={n}")
         return n
 
@@ -69,8 +83,9 @@ class RunStore:
         return f"{self.root}/runs/run_id={run_id:020d}"
 
     def write_run(self, entries: DataFrame, run_id: int) -> DataFrame:
-        """Write sorted, unique entries as a new run; an existing one is an error.
-        Returns the run's manifest row."""
+        """Write sorted, unique entries as a new run; a whole one is an error, what a
+        dead writer left is replaced. Returns the run's manifest row."""
+        self._clear_torn(self.path(run_id))
         n = self.options.files_per_run
         ordered = entries.select("key", "value", "is_tombstone", "seq")
         ordered = (ordered.repartitionByRange(n, "key") if n > 1 else ordered.coalesce(1)).sortWithinPartitions("key")
@@ -87,6 +102,7 @@ class RunStore:
             F.lit(run_id).cast("long").alias("run_id"), F.lit(self.path(run_id)).alias("path"), F.count(F.lit(1)).alias("n_keys"),
             F.coalesce(F.sum(F.col("is_tombstone").cast("long")), F.lit(0)).alias("n_tombstones"), F.min(key).alias("min_key"), F.max(key).alias("max_key"),
             F.coalesce(size, F.lit(16)).cast("long").alias("total_bytes"), F.coalesce(F.max("seq"), F.lit(0)).alias("created_seq"), F.lit("live").alias("state"),
+            F.coalesce(F.min("seq"), F.lit(0)).alias("min_seq"),
         )
         return self.spark.createDataFrame(row.collect(), MANIFEST_COLUMNS)  # one row
 
@@ -107,10 +123,10 @@ class RunStore:
         return found.where(F.col("key") == F.lit(key)) if key is not None else found
 
     def load(self) -> DataFrame:
-        """Runs found in the folder, whatever the manifest says: (run_id, path)."""
+        """Whole runs found in the folder, whatever the manifest says: (run_id, path)."""
         fs, path = self._fs(f"{self.root}/runs")
         found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        rows = sorted((int(p.getName()[7:]), f"{self.root}/runs/{p.getName()}") for p in found if p.getName().startswith("run_id="))
+        rows = sorted((int(p.getName()[7:]), f"{self.root}/runs/{p.getName()}") for p in found if p.getName().startswith("run_id=") and self._whole(f"{self.root}/runs/{p.getName()}"))
         return self.spark.createDataFrame(rows, "run_id long, path string")
 
     # Changes
@@ -130,9 +146,11 @@ class RunStore:
         return int(self.manifest().agg(F.max("run_id")).first()[0] or 0) + 1
 
     def register(self, run_id: int) -> int:
-        """Add a written run; adding it again changes nothing."""
-        others = self.manifest().where(F.col("run_id") != run_id)
-        return self._commit(others.unionByName(self._describe(run_id)))
+        """Add a written run; one that is known, live or retired, stays as it is."""
+        known = self.manifest()
+        if not known.where(F.col("run_id") == run_id).isEmpty():
+            return self.version()
+        return self._commit(known.unionByName(self._describe(run_id)))
 
     def retire(self, run_ids: list[int]) -> int:
         """Take runs out of reads; their files stay until ``vacuum``."""
@@ -140,7 +158,12 @@ class RunStore:
         return self._commit(self.manifest().withColumn("state", F.when(gone, "retired").otherwise(F.col("state"))))
 
     def compact(self, drop_tombstones: bool = False) -> list[int]:
-        """Merge runs as the strategy says; one version swaps all of them."""
+        """Merge runs as the strategy says; one version swaps all of them.
+
+        ``drop_tombstones`` drops them where nothing older is left out: every
+        other live run holds only operations after the group's last one. Elsewhere
+        they stay, as an older run might hold what they delete.
+        """
         before = self.manifest()
         groups = self.options.strategy.choose(before).collect()  # one row per run
         merged: dict[int, list[int]] = {}
@@ -148,15 +171,21 @@ class RunStore:
             merged.setdefault(r["group_id"], []).append(r["run_id"])
         if not merged:
             return []
+        live = [(r["run_id"], r["min_seq"], r["created_seq"]) for r in before.where("state = 'live'").collect()]  # one per run
         next_id, rows, new = self._next_id(), before, []
         for group in sorted(merged):
             ids = merged[group]
             entries = self.entries(before.where(F.col("run_id").isin(ids)))
             rows = rows.withColumn("state", F.when(F.col("run_id").isin(ids), "retired").otherwise(F.col("state")))
-            rows = rows.unionByName(self.write_run(merge.compact(entries, drop_tombstones=drop_tombstones), next_id))
+            last = max((seq for i, _, seq in live if i in ids), default=0)
+            oldest = all(first > last for i, first, _ in live if i not in ids)
+            rows = rows.unionByName(self.write_run(merge.compact(entries, drop_tombstones=drop_tombstones and oldest), next_id))
             new.append(next_id)
             next_id += 1
         self._commit(rows)
+        for group, made in zip(sorted(merged), new):
+            if self.options.on_merge:
+                self.options.on_merge(sorted(merged[group]), made)
         return new
 
     def vacuum(self) -> list[int]:

@@ -62,7 +62,8 @@ BATCH_STEP = 1_000_000
 def flush_each_batch(store: RunStore, compact_every: int = 0) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each micro-batch becomes a run; every so many batches,
     runs are merged. A run's id follows from the batch's number, so a batch that
-    is run again after a failure isn't stored twice; merged runs take ids between
+    is run again after a failure isn't stored twice, its remains are replaced, and
+    one that a merge has taken in stays retired; merged runs take ids between
     batches' (see BATCH_STEP)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir.
 
-    The session names the shared folder; only where it is unset (tests) is a
-    local one made and set.
+    The session names the shared folder. Where it is unset, a local one is made and
+    set, which only a local master can share; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -47,7 +49,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, keep_part: bool = False) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], order: list[str | Column], name: str, keep_part: bool = False) -> DataFrame:
     """Add ``name``: the row's place, from 0, among the rows of its key in the
     given order.
 
@@ -71,11 +73,19 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, k
     return ranged.join(s, on, "inner").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first")).select(*df.columns, name, *["__part"] * keep_part)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished phases.
+def count_before(df: DataFrame, order: str, flag: Column, name: str) -> tuple[DataFrame, int]:
+    """Add ``name``: how many rows with ``flag`` come before the row in ``order``
+    (unique values); and how many there are in all.
 
-    It does so when the driver collects the handles of the jobs they belong to,
-    which a driver with a large heap may not do for hours. Call it where a phase
-    ends with a written table.
+    Rows are dealt by ranges of ``order``; each range counts its own, and only one
+    count per range is summed up, so that no range join is needed.
     """
-    spark.sparkContext._jvm.System.gc()
+    ranged = df.withColumn("__flag", flag.cast("long")).repartitionByRange(partitions(df.sparkSession), order)
+    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.coalesce(F.sum("__flag"), F.lit(0)).alias("__n"))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.join(starts, "__part").withColumn(name, F.col("__start") + F.coalesce(F.sum("__flag").over(within), F.lit(0)))
+    total = ranged.agg(F.coalesce(F.sum("__flag"), F.lit(0))).first()[0]
+    return counted.select(*df.columns, name), int(total)

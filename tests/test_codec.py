@@ -117,3 +117,27 @@ def test_value_and_pointer_codecs(spark):
     got = df.select(layout.value_bytes("v", "gone").alias("v"), layout.pointer_bytes("p", "n").alias("p")).collect()
     assert [bytes(r["v"]) for r in got] == [layout.encode_value(b"ab"), b"\x00"] and bytes(got[1]["p"]) == layout.encode_pointer(3, 4)
     assert df.select(F.length(layout.value_bytes("v", "gone"))).count() == 2
+
+
+def test_long_streams_are_linear():
+    import time
+
+    rng = random.Random(7)
+    values = [rng.randrange(2**40) for _ in range(200_000)]
+    began = time.perf_counter()
+    stream, _, n = codec.encode(values)
+    assert list(codec.decode(stream, n)) == values
+    assert time.perf_counter() - began < 20  # seconds where a shifted big integer takes many minutes
+
+
+def test_blocks_split_a_hot_series(spark):
+    rows = [(0, i, i * i % 1000) for i in range(100)] + [(1, i, -i) for i in range(3)] + [(2, 7, 5)]
+    df = spark.createDataFrame(rows, "g long, i long, value long")
+    for size in (2, 10, 1000):
+        encoded = codec.encode_blocks(df, ["g"], "i", size=size)
+        places = {g: sorted(i for h, i, _ in rows if h == g) for g in range(3)}
+        want = sorted((g, places[g].index(i), v) for g, i, v in rows)
+        assert sorted(map(tuple, codec.decode_blocks(encoded, ["g"], size=size).collect())) == want
+        assert encoded.where("g = 0").count() == -(-100 // size)
+        bits_ = {r["g"]: r["n"] for r in encoded.groupBy("g").sum("n_bits").withColumnRenamed("sum(n_bits)", "n").collect()}
+        assert bits_ == {r["g"]: r["n_bits"] for r in codec.encoded_sizes(df, ["g"], "i").collect()}

@@ -2,6 +2,7 @@
 
 import importlib
 import sys
+import warnings
 
 import duckdb
 import pytest
@@ -49,15 +50,26 @@ def test_point_reads_reach_the_scan(spark):
     assert "EqualTo(o_orderstatus,F)" in plan
 
 
-def test_entry_works_without_the_llm_part(monkeypatch):
-    import importlib.util
-
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("stratalog.llm", "corpus_pipeline") else find(name, *a))
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "stratalog.llm", "xxhash"])
+def test_entry_works_without_the_llm_part(monkeypatch, missing):
+    """Also where a library is missing that only that part needs."""
+    for name in [m for m in sys.modules if m.startswith(("stratalog.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     before = sys.modules.pop("__spark_entry__")
     try:
-        alone = importlib.import_module("__spark_entry__")
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            alone = importlib.import_module("__spark_entry__")
         assert "lsm_latest" in alone.queries() and not any(q.startswith("op") or q == "pipeline" for q in alone.queries())
         assert set(alone.oracle_sql()) <= set(alone.queries())
     finally:
         sys.modules["__spark_entry__"] = before
+
+
+@pytest.mark.parametrize("name", ["lsm_command_log", "lsm_read_metrics"])
+def test_generations_need_no_nested_loop(spark, name):
+    df = entry.queries()[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

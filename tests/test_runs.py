@@ -97,3 +97,56 @@ def test_streams_equal_the_batch(spark, tmp_path):
     assert {r["key"]: r["value"] for r in ops.latest(store.entries()).collect()} == want
     write(whole.limit(0), 0)  # a batch that was stored before
     assert {r["key"]: r["value"] for r in ops.latest(store.entries()).collect()} == want
+
+
+def _flush(store, spark, *rows):
+    return store.flush(spark.createDataFrame([(*r, None) for r in rows], LOG))
+
+
+def test_dropped_tombstones_revive_nothing(spark, tmp_path):
+    merges = []
+    store = RunStore(spark, str(tmp_path), RunOptions(on_merge=lambda old, new: merges.append((old, new))))
+    for row in ((1, "a", "1", False), (2, "b", "2", False), (3, "a", None, True), (4, "c", "3", False)):
+        _flush(store, spark, row)
+    store.compact(drop_tombstones=True)
+    assert merges == [([1, 2], 5), ([3, 4], 6)]
+    assert {r["key"]: r["value"] for r in ops.latest(store.entries()).collect()} == {"b": "2", "c": "3"}
+    assert store.entries().where("is_tombstone").count() == 1
+    # The next merge has everything and may drop it; an older merged run goes first.
+    store.compact(drop_tombstones=True)
+    assert {r["key"] for r in store.entries().collect()} == {"b", "c"}
+
+
+def test_what_a_dead_writer_left_is_replaced(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    batch = spark.createDataFrame([(1, "a", "1", False, None)], LOG)
+    write = ingest.flush_each_batch(store)
+    run = tmp_path / "runs" / f"run_id={ingest.BATCH_STEP:020d}"
+    run.mkdir(parents=True)
+    (run / "part-0.parquet").write_bytes(b"torn")
+    (tmp_path / "manifest" / "v=1").mkdir(parents=True)
+    assert store.load().count() == 0 and store.version() == 0
+    write(batch, 0)
+    assert [(r["key"], r["value"]) for r in ops.latest(store.entries()).collect()] == [("a", "1")]
+    assert store.load().count() == 1 and store.version() == 1
+
+
+def test_a_batch_run_again_after_a_merge_stays_retired(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path))
+    write = ingest.flush_each_batch(store, compact_every=2)
+    batches = [spark.createDataFrame([(i, "a", str(i), False, None)], LOG) for i in range(2)]
+    for i, b in enumerate(batches):
+        write(b, i)
+    live = [r["run_id"] for r in store.live().collect()]
+    write(batches[1], 1)
+    assert [r["run_id"] for r in store.live().collect()] == live and len(live) == 1
+
+
+def test_files_and_pointers(spark):
+    df = spark.createDataFrame([(r, k, v, v is None) for r in (1, 2) for k, v in ENTRIES[:: 3 - r]], "run_id long, key binary, value binary, is_tombstone boolean")
+    files = raw_sstable.encode_files(df)
+    want = sorted((r["run_id"], bytes(r["key"]), r["is_tombstone"]) for r in df.collect())
+    assert sorted((r["run_id"], bytes(r["key"]), r["is_tombstone"]) for r in raw_sstable.decode_files(files).collect()) == want
+    found = raw_sstable.read_pointers(files, layout.pointers(df)).collect()
+    assert sorted((r["run_id"], bytes(r["key"]), r["is_tombstone"]) for r in found) == want
+    assert {(bytes(r["key"]), r["value"] and bytes(r["value"])) for r in found if r["run_id"] == 2} == set(ENTRIES)
