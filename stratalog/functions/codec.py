@@ -160,25 +160,27 @@ def encode_blocks(df: DataFrame, by: list[str], order: str, value: str = "value"
     with any share of the rows spreads over many tasks and blocks are decoded each
     for itself. The blocks' bits, one after another, are the series' stream."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    numbered = number_within(df.select(*by, order, value), by, [order], "i")
+    named = df.select(*by, F.col(order).alias("__order"), F.col(value).alias("__value"))
+    numbered = number_within(named, by, ["__order"], "__place")
     # A block's last two values go to the next block too, where they only set its
     # start.
-    here = F.floor(F.col("i") / size).cast("long")
-    ends = F.col("i") % size >= size - 2
-    dealt = numbered.withColumn("block", F.explode(F.when(ends, F.array(here, here + 1)).otherwise(F.array(here))))
+    here = F.floor(F.col("__place") / size).cast("long")
+    ends = F.col("__place") % size >= size - 2
+    dealt = numbered.withColumn("__block", F.explode(F.when(ends, F.array(here, here + 1)).otherwise(F.array(here))))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i", kind="stable")
-        block = int(rows["block"].iloc[0])
-        ahead, own = rows[rows["i"] < block * size][value].tolist(), rows[rows["i"] >= block * size]
+        rows = rows.sort_values("__place", kind="stable")
+        block = int(rows["__block"].iloc[0])
+        is_own = rows["__place"] >= block * size
+        ahead, own = rows["__value"][~is_own].tolist(), rows["__value"][is_own]
         before = [0, *ahead][-2:] if ahead else [0, 0]
         last, delta = before[-1], before[-1] - before[0]
-        stream, n_bits, n = encode(own[value], last, delta)
+        stream, n_bits, n = encode(own, last, delta)
         coded = pd.DataFrame({**{k: [rows[k].iloc[0]] for k in by}, "block": [block], "last": [last], "delta": [delta], "n": [n], "n_bits": [n_bits], "payload": [stream]})
         return coded if n else coded[:0]  # no block begins after the series' end
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), "block long, last long, delta long, n long, n_bits long, payload binary"])
-    return dealt.groupBy(*by, "block").applyInPandas(run, schema)
+    return dealt.groupBy(*by, "__block").applyInPandas(run, schema)
 
 
 def decode_blocks(encoded: DataFrame, by: list[str], size: int = BLOCK) -> DataFrame:
