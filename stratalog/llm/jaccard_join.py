@@ -23,8 +23,11 @@ Documents are sets of word 5-grams (64-bit hashes); two link when
 4. Components of all links found. Copies and near copies are never expanded
    into pairs; no partner or candidate is capped.
 
-Memory: a bucket's arrays, whose number is spark.sql.shuffle.partitions and which
-are salted by SALT_ENTRIES, or one document. A hash adds two entries per map task
+Memory: a bucket's arrays, or one document, or what QUERIES queries and a block's
+members hold. Buckets are as many as spark.sql.shuffle.partitions, and more where
+a bucket's share of the input would exceed BUCKET_BYTES or, when blocks are opened,
+PAIRS pairs; they are salted by SALT_ENTRIES. A popular block's queries are dealt to
+many tasks, each with the block's members. A hash adds two entries per map task
 at most to a bucket's count, however frequent it is. The driver sees one count
 per bucket.
 
@@ -55,8 +58,13 @@ LIKE = (100, 75)
 #: Entries of packed arrays that a map task holds, and that a bucket's task gets.
 FLUSH_ENTRIES, SALT_ENTRIES = 2_000_000, 2_000_000
 
+#: Bytes of input that a bucket stands for at most, as Spark estimates them.
+BUCKET_BYTES = 64 << 20
+
 #: Ratio of the sizes of a class; members of a block.
 CLASS_RATIO, BLOCK = 1.1, 256
+#: Queries of a block that a task opens it for, and (query, block) pairs of a bucket.
+QUERIES, PAIRS = 128, 2048
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Other orders of hashes: multiplication by an odd number.
@@ -178,6 +186,13 @@ def _blobs(source: DataFrame, n_buckets: int, whole: bool) -> DataFrame:
     return source.mapInArrow(lean(run), BLOBS)
 
 
+def _buckets(source: DataFrame) -> int:
+    """Results don't depend on it. The estimate is of the files' size; where there
+    is none, it is huge and says nothing."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(source.sparkSession), -(-size // BUCKET_BYTES) if size < 1 << 60 else 0)
+
+
 def _shared(blobs: DataFrame) -> DataFrame:
     """(bucket, shared, entries): keys that occur twice in a bucket, sorted."""
 
@@ -234,9 +249,8 @@ def _needed(n, whole: bool):
     return at_least if whole else F.greatest(F.lit(1), F.floor(at_least / 12))
 
 
-def screen(blobs: DataFrame, whole: bool) -> DataFrame:
+def screen(blobs: DataFrame, shared: DataFrame, whole: bool) -> DataFrame:
     """Rows of ``blobs`` (id, n, d1, d2) that can link with another class."""
-    shared = _shared(blobs)
     hits = _hits(blobs, shared)
     docs = blobs.where("bucket IS NULL").select("part", "idx", "id", "n", "d1", "d2")
     return docs.join(hits, ["part", "idx"]).where(F.col("hits") >= _needed("n", whole)).select("id", "n", "d1", "d2")
@@ -272,21 +286,28 @@ def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = cut(_verified(headed.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets))
     leads = headed.groupBy("id").agg(F.min("a").alias("lead"))
     named = leads.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("g"), "lead")
-    return links, cut(named)
+    groups = cut(named)
+    for table in (keys, headed):
+        drop_table(table)
+    return links, groups
 
 
 def _described(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """id, n, tokens with ord (the component's number, the largest first), c (size
     class) and block (of at most about BLOCK similar sets of one class)."""
     components_ = groups.groupBy("g").agg(F.count(F.lit(1)).alias("members"), (-F.count(F.lit(1))).alias("__less"))
-    numbered = number_within(components_, [], ["__less", "g"], "ord").select("g", "ord", "members")
+    ordered = number_within(components_, [], ["__less", "g"], "ord")
+    numbered = ordered.select("g", "ord", "members")
     c = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(CLASS_RATIO)))).cast("int")
     label = F.when(F.col("members") >= BLOCK // 4, -1 - F.col("ord")).otherwise(F.col("lead"))
     rows = cut(groups.join(numbered, "g").join(sets.select("id", "n"), "id").select("id", "ord", c.alias("c"), label.alias("label")))
+    drop_table(ordered)
     counted = rows.groupBy("label", "c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
     salt = F.pmod(F.xxhash64("id"), F.col("salts"))
     blocks = rows.join(counted, ["label", "c"]).select("id", "ord", "c", F.xxhash64("label", "c", salt).alias("block"))
-    return cut(sets.join(blocks, "id").select("id", "n", "ord", "c", "block", "tokens"))
+    described = cut(sets.join(blocks, "id").select("id", "n", "ord", "c", "block", "tokens"))
+    drop_table(rows)
+    return described
 
 
 def class_floor(c: int) -> int:
@@ -335,9 +356,16 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     asked = rare.join(matrix.withColumnRenamed("c", "hc"), ["token", "hc"]).where(F.col("first") < F.col("ord")).select("id", "block").distinct()
     pairs = cut(asked)
     drop_table(rare)
-    bucket = F.pmod(F.col("block"), F.lit(4 * partitions(spark))).cast("int")
-    queries = pairs.join(described.select("id", "ord", "tokens"), "id").select(bucket.alias("bucket"), "block", "id", "ord", "tokens")
-    members = described.join(pairs.select("block").distinct(), "block", "left_semi").select(bucket.alias("m_bucket"), *(F.col(x).alias(f"m_{x}") for x in ("block", "id", "ord", "tokens")))
+    # A block is opened for QUERIES queries at once: they and a copy of its members
+    # are one part, and parts are dealt to buckets.
+    parts = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    n_buckets = max(4 * partitions(spark), -(-pairs.count() // PAIRS))
+    bucket = F.pmod(F.xxhash64("block", "salt"), F.lit(n_buckets)).cast("int")
+    salted = pairs.join(parts, "block").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    queries = salted.join(described.select("id", "ord", "tokens"), "id").select(bucket.alias("bucket"), F.xxhash64("block", "salt").alias("block"), "id", "ord", "tokens")
+    copies = parts.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    held_ = described.join(copies, "block").withColumn("bucket", bucket).withColumn("block", F.xxhash64("block", "salt"))
+    members = held_.select(F.col("bucket").alias("m_bucket"), *(F.col(x).alias(f"m_{x}") for x in ("block", "id", "ord", "tokens")))
 
     def opened(q: pa.Table, m: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -382,12 +410,14 @@ def _classes_of(described: DataFrame) -> int:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blobs = cut(_blobs(texts, partitions(spark), False))
-    rows = blobs.where("bucket IS NULL").select("id", "n", "d1", "d2")
+    blobs = cut(_blobs(texts, _buckets(docs.select("text")), False))
+    rows = cut(blobs.where("bucket IS NULL").select("id", "n", "d1", "d2"))
     classes = cut(rows.where("id IS NOT NULL AND n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
-    left = screen(blobs, False).join(classes, ["d1", "d2"]).select(F.col("rep").alias("doc_id")).distinct()
+    shared = _shared(blobs)
+    left = cut(screen(blobs, shared, False).join(classes, ["d1", "d2"]).select(F.col("rep").alias("doc_id")).distinct())
+    for table in (blobs, shared):
+        drop_table(table)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,9 +426,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 1000], pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "n", "tokens"])
 
     some = cut(texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "id long, n long, tokens binary").where("n > 0"))
-    again = cut(_blobs(some.select("id", "tokens"), partitions(spark), True))
-    sets = cut(some.join(screen(again, True).select("id").distinct(), "id", "left_semi"))
-    for table in (some, again):
+    again = cut(_blobs(some.select("id", "tokens"), _buckets(some.select("tokens")), True))
+    shared = _shared(again)
+    sets = cut(some.join(screen(again, shared, True).select("id").distinct(), "id", "left_semi"))
+    for table in (left, some, again, shared):
         drop_table(table)
     links, groups = _groups(sets)
     # Equal sets: every row of a class links with its representative, as do the
@@ -406,7 +437,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = rows.join(classes.where("rep <> top"), ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     across = _across(sets, groups)
     found = components(links.union(across).union(copies))
-    # What is left reads the documents' rows and the components only.
+    # What is left reads rows and components only.
     for table in (sets, groups, links, across, classes):
         drop_table(table)
     named = rows.join(found, "id", "left")

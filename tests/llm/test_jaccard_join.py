@@ -67,6 +67,9 @@ def test_equals_brute_force_on_dense_clusters(spark, seed):
 
 def test_blocks_and_flushes_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "QUERIES", 3)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 5)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 999)
     monkeypatch.setattr(jaccard_join, "SALT_ENTRIES", 50)
     rng = random.Random(5)
     rows = list(enumerate(cluster(rng, 80, 80, 0.08)))
