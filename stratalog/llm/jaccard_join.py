@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 s = [shingles(t) for t in batch.column(1)[a : a + 1000].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 1000], pa.array([len(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], ["id", "n", "tokens"])
 
-    some = cut(texts.join(left, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "id long, n long, tokens binary").where("n > 0"))
+    # By shuffle at every size: what is left grows with the documents.
+    some = cut(texts.join(left.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "id long, n long, tokens binary").where("n > 0"))
     again = cut(_blobs(some.select("id", "tokens"), _buckets(some.select("tokens")), True))
     shared = _shared(again)
     sets = cut(some.join(screen(again, shared, True).select("id").distinct(), "id", "left_semi"))
