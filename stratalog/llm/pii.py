@@ -3,10 +3,12 @@
 ``base_spans`` finds e-mail addresses, IP addresses, payment cards and phone
 numbers by the contract's patterns, in time linear in the text. The model, a
 character-level bidirectional LSTM with CRF transitions over B/I tags of the four
-kinds, is trained in numpy on the driver from labelled spans: windows of at most
-SAMPLE_DOCS documents (those with the smallest hash of doc_id among the ones with
-a digit or @) labelled by the patterns, and generated spellings that the patterns
-don't know (name at host dot org, phones without +, dotted cards) set into such
+kinds and of secrets (keys and tokens, which no pattern finds), is trained in numpy
+on the driver from labelled spans: windows of at most SAMPLE_DOCS documents (those
+with the smallest hash of doc_id among the ones with a digit or @, of a range of
+hashes that holds OVER * SAMPLE_DOCS documents on average; equal rows count once)
+labelled by the patterns, and generated spellings that the patterns don't know
+(name at host dot org, phones without +, dotted cards, secrets) set into such
 windows.
 
 Every place of every text with a digit, an @ or an "at" before a dot is within
@@ -15,7 +17,8 @@ averaged, weighted to a window's middle, and each run of overlapping windows is
 decoded by one Viterbi pass, so a span over a window's edge is found whole. Every
 known spelling in a decoded span is added, or all of it if it has none but what
 its kind can't do without (see ``stretches``), unless it touches a base span; base
-spans stay as they are.
+spans stay as they are. Secrets are told apart from personal data: ``spans`` has
+the four kinds, ``secrets`` the others.
 
 Memory: a task holds one text and the windows of a few thousand places. The model
 is some thousand numbers, shipped with the function.
@@ -40,8 +43,10 @@ from pyspark.sql import functions as F
 from stratalog.llm.base import lean
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bound of the labelled sample.
-SAMPLE_DOCS = 1_000
+#: What the model tags.
+TAGGED = (*KINDS, "secret")
+#: Bound of the labelled sample, and how many times as many are looked at for it.
+SAMPLE_DOCS, OVER = 1_000, 50
 #: Characters of a sampled text that are learned from (all are searched).
 SAMPLE_CHARS = 20_000
 WINDOW, STRIDE = 64, 32
@@ -112,6 +117,7 @@ _FORMS = {
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._-]?[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|\()?[0-9][ ().0-9/-]{7,20}[0-9](?![0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])"),
 }
 
 
@@ -124,6 +130,9 @@ def _fits(kind: str, text: str) -> bool:
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 9 <= len(digits) <= 15
+    if kind == "secret":
+        # Long, without a space, and of both letters and digits throughout.
+        return len(text) >= 16 and len(text.split()) == 1 and 4 <= len(digits) <= len(text) - 4
     return bool(_AT_THEN_DOT.search(text))
 
 
@@ -150,13 +159,13 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-N_CODES, TAGS = 100, 1 + 2 * len(KINDS)
+N_CODES, TAGS = 100, 1 + 2 * len(TAGGED)
 
 
 def tags(n: int, spans: list[Span]) -> np.ndarray:
     out = np.zeros(n, np.int64)
     for kind, a, b in spans:
-        k = 1 + 2 * KINDS.index(kind)
+        k = 1 + 2 * TAGGED.index(kind)
         out[a:b] = k + 1
         out[a] = k
     return out
@@ -300,7 +309,7 @@ def spans_of(path: np.ndarray, offset: int) -> list[Span]:
             end = at + 1
             while inside[end] == inside[at] + 1:
                 end += 1
-            out.append((KINDS[(int(inside[at]) - 1) // 2], offset + at, offset + end))
+            out.append((TAGGED[(int(inside[at]) - 1) // 2], offset + at, offset + end))
             at = end
         else:
             at += 1
@@ -375,7 +384,11 @@ def generated(rng: np.random.Generator) -> tuple[str, str | None]:
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     pick = lambda *x: x[rng.integers(len(x))]
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
-    form = rng.integers(16)
+    form = rng.integers(18)
+    if form >= 16:
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+        mixed = lambda n: "".join(letters[c] for c in rng.integers(0, len(letters), n))
+        return pick(rng.bytes(20).hex(), rng.bytes(16).hex(), rng.bytes(20).hex(), mixed(int(rng.integers(24, 41))), "key-" + mixed(28), mixed(32).upper()), "secret"
     if form < 4:
         at, dot = pick(("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("_at_", "_dot_"), (" {at} ", pick(".", " {dot} ")), (" <at> ", pick(".", " <dot> ")), (" [at] ", "\n[dot] "))
         return f"{word()}{pick('', '.', '_')}{pick('', d(2))}{at}{word()}{dot}{pick('com', 'org', 'example' + dot + 'com', 'net')}", "email"
@@ -387,7 +400,7 @@ def generated(rng: np.random.Generator) -> tuple[str, str | None]:
         return sep.join(n[i : i + 4] for i in range(0, 16, 4)), "card"
     if form < 12:
         return pick(f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(2)} {d(7)}", f"{d(4)} {d(3)} {d(3)}", f"{d(3)}.{d(3)}.{d(4)}", d(10), f"+{d(2)} {d(3)} {d(6)}"), "phone"
-    return pick(f"20{d(2)}-0{pick('1', '9')}-1{d(1)}", f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", d(int(rng.integers(1, 9))), f"{d(2)}:{d(2)}", f'"{rng.bytes(16).hex()}"', f"{d(1)},{d(3)}.{d(2)}", f"{word()} at {word()}", f"{d(2)}/{d(2)}/{d(4)}"), None
+    return pick(f"20{d(2)}-0{pick('1', '9')}-1{d(1)}", f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", d(int(rng.integers(1, 9))), f"{d(2)}:{d(2)}", f"{d(1)},{d(3)}.{d(2)}", f"{word()} at {word()}", f"{d(2)}/{d(2)}/{d(4)}"), None
 
 
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -403,6 +416,8 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     for text in texts:
         spans = base_spans(text)
+        # Labels only: in the texts searched, the model alone decides on secrets.
+        spans += added(text, spans, [("secret", *m.span()) for m in _FORMS["secret"].finditer(text)])
         for a, b in zones(text):
             take(text, spans, a, b)
     around = [t for t in texts if len(t) > 200] or ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore. " * 4, "And then, one day, it went on for a while as nobody there was home. The others had gone out to see the sea. " * 4]
@@ -421,22 +436,28 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Tagger:
     """Train on the driver from at most ``sample`` documents."""
-    some = docs.select(F.col("doc_id").cast("string").alias("k"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    # Hashes first, so that a task sends a number for each of its smallest, not a
-    # text; the texts that are meant follow.
-    hashed = some.select(F.xxhash64("k").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    smallest = hashed.select("h").orderBy("h").limit(sample).collect()
+    share = min(1.0, OVER * sample / max(1, docs.count()))
+    some = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    if share < 1:
+        some = some.where(F.col("h") <= int(share * (1 << 64)) - (1 << 63))
+    some = some.where(F.col("text").rlike("[0-9@]"))
+    # Hashes first, so that a task sends two numbers for each of its smallest, not a
+    # text; the texts that are meant follow, each once.
+    hashed = some.select("h", F.xxhash64("text").alias("t"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    smallest = [tuple(r) for r in hashed.select("h", "t").distinct().orderBy("h", "t").limit(sample).collect()]
     if not smallest:
         return Tagger().fit(*training_windows([]))
-    rows = sorted(tuple(r) for r in hashed.where(F.col("h") <= smallest[-1]["h"]).collect())[:sample]
-    return Tagger().fit(*training_windows([text for _, text in rows]))
+    wanted = docs.sparkSession.createDataFrame(smallest, "h long, t long")  # ``sample`` rows
+    rows = hashed.where(F.col("h") <= smallest[-1][0]).join(F.broadcast(wanted), ["h", "t"]).dropDuplicates(["h", "t"])
+    return Tagger().fit(*training_windows([r["text"] for r in rows.orderBy("h", "t").collect()]))
 
 
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long, n_secrets long, secrets string, n_found long"
 
 
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """Counts and digest of the base spans, and all spans, of every text."""
+    """Counts and digest of the base spans, all spans, and secrets of every text;
+    ``n_found`` counts all of them."""
     parameters = (tagger or fit(docs)).p
     names = [c.split()[0] for c in COLUMNS.split(", ")]
 
@@ -448,11 +469,13 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 rows = []
                 for text, more in zip(texts, decode(model, texts)):
                     base = base_spans(text)
-                    new = added(text, base, more)
+                    new, secrets = [], []
+                    for span in added(text, base, more):
+                        (secrets if span[0] == "secret" else new).append(span)
                     every = sorted(base + new, key=lambda s: (s[1], KINDS.index(s[0])))
                     kinds = [s[0] for s in base]
-                    rows.append((*(kinds.count(x) for x in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(new)))
-                types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+                    rows.append((*(kinds.count(x) for x in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(new), len(every), len(secrets), joined(secrets), len(every) + len(secrets)))
+                types = [*[pa.int64()] * 4, pa.string(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1000], *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), COLUMNS)

@@ -153,3 +153,35 @@ def test_all_zones_of_a_sampled_text_are_learned():
     text = ("1 " + "x" * 200) * 9
     assert len(pii.zones(text)) == 9
     assert len(pii.training_windows([text])[0]) - len(pii.training_windows([""])[0]) > 12
+
+
+def test_secrets_are_found_and_told_apart(spark, tagger):
+    secret = "0c497b5014f705c0be648d68b816f88c209136eb"
+    rows = [(1, f'the house token = "{secret}" was there and then it went on for a while'), (2, "Once upon a time there was a house of 12 rooms and 1200 windows, built in 1911."), (3, f"mail a.b@c.de or {secret} now")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    at = rows[0][1].index(secret)
+    assert got[1]["secrets"] == f"secret:{at}:{at + 40}" and got[1]["spans"] == "" and (got[1]["n_spans"], got[1]["n_found"]) == (0, 1)
+    assert got[2]["n_found"] == 0
+    assert got[3]["n_found"] == 2 and got[3]["n_secrets"] == 1 and got[3]["spans"] == "email:5:13"
+
+
+def test_the_sample_is_bounded_and_equal_rows_count_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "training_windows", lambda texts: seen.append(texts) or (None, None))
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, x, y: self)
+    rows = [(7, "call 1 now")] * 300 + [(None, "call 2 now")] * 50 + [(i, f"number {i}") for i in range(40)] + [(99, "none here"), (98, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.fit(docs, sample=1000)
+    assert sorted(seen[-1]) == sorted({t for _, t in rows if t and any(c in "0123456789@" for c in t)})
+    pii.fit(docs, sample=5)
+    assert len(seen[-1]) == 5
+    pii.fit(docs.limit(0))
+    assert seen[-1] == []
+
+
+def test_find_learns_from_its_documents(spark):
+    text = "Once upon a time there was a house and the number was {} and then it went on for a while as nobody was home. " * 3
+    rows = [(i, text.format(i, f"a{i}@b.org", f"10.0.0.{i}")) for i in range(40)] + [(100, "You can reach me under (243) 555-5526 or after six, she said.")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_email"] == got[i]["n_ip"] == 1 for i in range(40))
+    assert got[100]["n_added"] == 1 and got[100]["spans"] == "phone:23:37"
