@@ -1,16 +1,18 @@
 """License scans by conditional compression.
 
-1. Candidate blocks: words around licence terms (CUES) in the whole text; nearby
-   ones join, so a block is as long as the licence it holds. Words are compared
+1. Candidate blocks: words around licence terms (CUES) in the whole text; terms as
+   near to each other as any template's (see ``reach``) are in one block, so a block
+   is as long as the licence it holds. Words are compared
    in lower case, without punctuation around them.
 2. A block is compressed by zstandard alone and with each template as a raw
-   dictionary; the share of bytes saved ranks templates that match equally well.
-3. Every template of whose words the block has enough is compared word by word. A
-   template of up to SHORT words must stand there exactly, a longer one with at
-   most DIFFERENT of its words changed, left out or added, none of which names a
-   version or another licence; the longest wording found wins, then the one with
-   the fewest differences. The wording found is taken out of the block and what is left
-   on either side is looked at again, so several licences are all found.
+   dictionary; the share of bytes saved ranks the templates.
+3. In this order, every template of whose words the block has enough is compared
+   word by word, and the first that is confirmed wins: one of up to SHORT words must
+   stand there exactly, a longer one with at most DIFFERENT of its words replaced,
+   left out or added (a replaced word counts once), none of which names a version or
+   another licence. Of templates that save the same, that with fewer differences
+   wins, then the longer wording. The wording found is taken out of the block and
+   what is left on either side is looked at again, so several licences are all found.
 
 Blocks are cut at BLOCK_WORDS words with an overlap of OVERLAP, more than any
 template has, so memory and work per block are bounded and a long text loses
@@ -40,8 +42,6 @@ from stratalog.llm.license_texts import TEMPLATES
 
 #: Stems that make a word a licence term.
 CUES = "licen[cs]|copyright|redistribut|sublicens|public domain|creative commons|warrant(?:y|ies)|hereby granted"
-#: Words around a term that belong to its block; blocks this close are one.
-AROUND = 24
 BLOCK_WORDS, OVERLAP = 2_000, 400
 LEVEL = 9
 SHORT, DIFFERENT = 20, 0.1
@@ -81,9 +81,9 @@ def reductions(block: list[str]) -> list[tuple[float, int]]:
     return sorted(saved, key=lambda x: (-x[0], x[1]))
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, list[str]] | None:
-    """The stretch of the block that matches the template best, and how its
-    wording differs: "-word" is missing there, "+word" added."""
+def differences(template: list[str], block: list[str]) -> tuple[int, int, list[str], int] | None:
+    """The stretch of the block that matches the template best, how its wording
+    differs ("-word" is missing there, "+word" added), and in how many words."""
     blocks = difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()[:-1]
     # The longest common stretch places the template; what lies farther away than
     # it reaches can't belong to it.
@@ -97,11 +97,13 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, list[s
     if not inner:
         return None
     start, end = a + inner[0].b, a + inner[-1].b + inner[-1].size
-    out = []
+    out, number = [], 0
     for tag, i, j, k, n in difflib.SequenceMatcher(None, template, block[start:end], autojunk=False).get_opcodes():
         if tag != "equal":
             out += ["-" + w for w in template[i:j]] + ["+" + w for w in block[start + k : start + n]]
-    return start, end, out
+            number += max(j - i, n - k)
+    # Words of the template before and after what was found are left out.
+    return start, end, out, number
 
 
 def renamed(template: list[str], stretch: list[str]) -> bool:
@@ -121,23 +123,38 @@ def renamed(template: list[str], stretch: list[str]) -> bool:
     return any(tag != "equal" and (names(template, i, j) or names(stretch, k, n)) for tag, i, j, k, n in steps)
 
 
-def _blocks(words: list[str], spans: list[tuple[int, int]], text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of words around licence terms."""
+def _terms(spans: list[tuple[int, int]], text: str) -> list[int]:
+    """Numbers of the words in which licence terms begin."""
     terms, at = [], 0
     for m in _CUE.finditer(text):
         while at < len(spans) and spans[at][1] <= m.start():
             at += 1
         terms.append(at)
+    return terms
+
+
+@cache
+def reach() -> int:
+    """The most words that a template has between two terms, or before the first or
+    after the last one, and a tenth for changes."""
+    longest = 0
+    for text in TEMPLATES.values():
+        spans = words_of(text)[1]
+        marks = [-1, *_terms(spans, text), len(spans)]
+        longest = max(longest, *(b - a for a, b in zip(marks, marks[1:])))
+    return int(longest * (1 + DIFFERENT)) + 1
+
+
+def _blocks(words: list[str], spans: list[tuple[int, int]], text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of words around licence terms."""
     joined: list[list[int]] = []
-    for t in terms:
-        a, b = max(0, t - AROUND), min(len(words), t + AROUND + 1)
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(b, joined[-1][1])
+    for t in _terms(spans, text):
+        if joined and t - joined[-1][1] <= reach():
+            joined[-1][1] = t
         else:
-            joined.append([a, b])
+            joined.append([t, t])
     for a, b in joined:
-        # A licence may begin or end with words far from any term.
-        a, b = max(0, a - 60), min(len(words), b + 60)
+        a, b = max(0, a - reach()), min(len(words), b + reach() + 1)
         for k in range(a, max(a + 1, b - OVERLAP), BLOCK_WORDS - OVERLAP):
             yield k, min(b, k + BLOCK_WORDS)
 
@@ -153,28 +170,22 @@ def scan(text: str | None) -> list[dict]:
         block = words[a:b]
         if not block or not _CUE.search(" ".join(block)):
             return
-        best = None
         held = Counter(block)
         # Each template word that the block hasn't is a difference, so no match is
         # lost here, and a block without a candidate needs no compression.
         able = {k for k, (_, template, _) in enumerate(_templates()) if _missing(k, held) <= _allowed(template)}
+        best = None
         for saved, k in reductions(block) if able else []:
-            if k not in able:
-                continue
-            name, template, _ = _templates()[k]
-            match = _exact(template, block) if len(template) <= SHORT else differences(template, block)
-            if match is None:
-                continue
-            start, end, changed = match
-            if len(changed) > _allowed(template) or changed and renamed(template, block[start:end]):
-                continue
-            # Fewest differences among those that cover the most.
-            rank = (-(end - start), len(changed), -saved)
-            if best is None or rank < best[0]:
-                best = (rank, name, a + start, a + end, saved, changed, len(template))
+            if best and saved < best[0]:
+                break
+            match = _confirmed(k, block) if k in able else None
+            if match and (best is None or (match[3], match[0] - match[1]) < (best[2][3], best[2][0] - best[2][1])):
+                best = (saved, k, match)
         if best:
-            _, name, s, e, saved, changed, size = best
-            found.setdefault((s, e), {"license": name, "start": spans[s][0], "end": spans[e - 1][1], "reduction": saved, "n_words": size, "n_differences": len(changed), "differences": " ".join(changed)})
+            saved, k, (start, end, changed, number) = best
+            name, template, _ = _templates()[k]
+            s, e = a + start, a + end
+            found.setdefault((s, e), {"license": name, "start": spans[s][0], "end": spans[e - 1][1], "reduction": saved, "n_words": len(template), "n_differences": number, "differences": " ".join(changed)})
             search(a, s)
             search(e, b)
 
@@ -201,14 +212,25 @@ def _allowed(template: list[str]) -> float:
     return 0 if len(template) <= SHORT else DIFFERENT * len(template)
 
 
-def _exact(template: list[str], block: list[str]) -> tuple[int, int, list[str]] | None:
+def _exact(template: list[str], block: list[str]) -> tuple[int, int, list[str], int] | None:
     n = len(template)
     for k in range(len(block) - n + 1):
         if block[k] == template[0] and block[k : k + n] == template:
-            return k, k + n, []
+            return k, k + n, [], 0
     return None
 
 
+def _confirmed(k: int, block: list[str]) -> tuple[int, int, list[str], int] | None:
+    """Where template ``k`` stands in the block, if its wording confirms it."""
+    template = _templates()[k][1]
+    match = _exact(template, block)
+    if match is None and len(template) > SHORT:
+        match = differences(template, block)
+    if match is None or match[3] > _allowed(template) or match[2] and renamed(template, block[match[0] : match[1]]):
+        return None
+    return match
+
+
 COLUMNS = "doc_id long, license string, start long, end long, reduction double, n_words long, n_differences long, differences string"
 
 

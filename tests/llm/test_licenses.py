@@ -75,3 +75,55 @@ def test_every_template_is_compared_in_a_block_of_many():
     names = [n for n in TEMPLATES if len(licenses.words_of(TEMPLATES[n])[0]) > licenses.SHORT]
     found = [h["license"] for h in licenses.scan("\n\n".join(TEMPLATES[n] for n in names))]
     assert set(names) <= set(found)
+
+
+def _levenshtein(a, b):
+    """Word by word; a replaced word counts once."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        ahead, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            ahead, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, ahead + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_brute_force_over_templates_and_places(seed):
+    """Wordings with some words replaced, several in a text: what is found is what
+    was set in, where it was; the number of differences is the least possible."""
+    import random
+
+    rng = random.Random(seed)
+    filler = "and then the story of a small house went on for quite a while in the cold".split()
+    names = [n for n in TEMPLATES if n != "BSD (disclaimer)"]
+    rng.shuffle(names)
+    for at in range(0, len(names), 6):
+        words, planted = [], []
+        for name in names[at : at + 6]:
+            words += rng.choices(filler, k=rng.randrange(90, 200))
+            wording = licenses.words_of(TEMPLATES[name])[0]
+            changed = list(wording)
+            if len(wording) > licenses.SHORT:
+                plain = [i for i in range(2, len(wording) - 2) if wording[i] in ("the", "of", "and", "to", "in", "or", "by", "is", "this", "any")]
+                for i in rng.sample(plain, min(len(plain), int(licenses.DIFFERENT * len(wording)), rng.randrange(4))):
+                    changed[i] = "zebra"
+            planted.append((name, len(words), len(words) + len(changed), sum(x != y for x, y in zip(wording, changed))))
+            words += changed
+        words += rng.choices(filler, k=100)
+        text = " ".join(words)
+        spans = licenses.words_of(text)[1]
+        got = [(h["license"], h["start"], h["end"], h["n_differences"]) for h in licenses.scan(text)]
+        assert got == [(n, spans[a][0], spans[b - 1][1], d) for n, a, b, d in planted]
+        for (name, a, b, d), hit in zip(planted, got):
+            assert d == _levenshtein(licenses.words_of(TEMPLATES[name])[0], words[a:b])
+
+
+def test_a_replaced_word_counts_once():
+    text = TEMPLATES["MPL-2.0"].replace("subject", "bound").replace("distributed", "sent")
+    (hit,) = licenses.scan(BEFORE + text + AFTER)
+    assert hit["license"] == "MPL-2.0" and hit["n_differences"] == 2 and hit["differences"] == "-subject +bound -distributed +sent"
+
+
+def test_templates_that_save_the_same_are_told_apart_by_their_wording():
+    twice = TEMPLATES["MIT (line)"] + " " + TEMPLATES["MIT (line)"]
+    assert [h["license"] for h in licenses.scan(twice)] == ["MIT (line)"] * 2
