@@ -11,7 +11,8 @@ Documents are sets of word 5-grams (64-bit hashes); two link when
    A second screen, over the classes that are left, uses whole sets.
 2. Groups: classes with the same minimum hash (of two orders) are compared with
    the least of them, and the components of those links are the groups of
-   similar documents.
+   similar documents. Minimum hashes of more orders gather what is alike without
+   being linked, so that few groups hold the tokens that many sets share.
 3. Matrix: sets of about one size are dealt to blocks of similar ones, those of a
    large component to its own. A token-group matrix holds which blocks hold a
    token. A set whose tokens held by other components' sets of a size class are
@@ -67,8 +68,10 @@ CLASS_RATIO, BLOCK = 1.1, 256
 QUERIES, PAIRS = 128, 2048
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Other orders of hashes: multiplication by an odd number.
-_ORDERS = np.array([1, 0xE7037ED1A0B428DB], np.uint64)
+#: Orders of hashes: multiplication by an odd number. Sets with the same minimum in
+#: one of the first two are compared; all tell which sets go to one block.
+_ORDERS = np.array([1, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64)
+COMPARED = 2
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -271,7 +274,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links among similar sets, (id, g, lead) for every set): g is the
-    component by those links, lead the least id with the same minimum hash."""
+    component by those links, lead the least id with the same minimum hash in any
+    order."""
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,8 +286,8 @@ def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     keys = cut(sets.select("id", "tokens").mapInArrow(lean(minima), "id long, k int, least long"))
     heads = keys.groupBy("k", "least").agg(F.min("id").alias("a"))
-    headed = cut(keys.join(heads, ["k", "least"]).select("id", "a"))
-    links = cut(_verified(headed.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets))
+    headed = cut(keys.join(heads, ["k", "least"]).select("id", "k", "a"))
+    links = cut(_verified(headed.where(f"a <> id AND k < {COMPARED}").select("a", F.col("id").alias("b")).distinct(), sets))
     leads = headed.groupBy("id").agg(F.min("a").alias("lead"))
     named = leads.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("g"), "lead")
     groups = cut(named)
