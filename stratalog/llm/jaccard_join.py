@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, lean, number_within, partitions
+from stratalog.llm.base import cut, drop_table, join_counted, lean, number_within, partitions
 from stratalog.llm.components import components
 
 WORDS = 5
@@ -282,11 +282,11 @@ def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             ids, tokens = batch.column(0).to_pylist(), [_sets(x.as_py()) for x in batch.column(1)]
             for k, by in enumerate(_ORDERS):
                 least = np.array([(t * by).min() for t in tokens], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k] * len(ids), pa.int32()), pa.array(least)], ["id", "k", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k] * len(ids), pa.int64()), pa.array(least)], ["id", "k", "least"])
 
-    keys = cut(sets.select("id", "tokens").mapInArrow(lean(minima), "id long, k int, least long"))
-    heads = keys.groupBy("k", "least").agg(F.min("id").alias("a"))
-    headed = cut(keys.join(heads, ["k", "least"]).select("id", "k", "a"))
+    keys = cut(sets.select("id", "tokens").mapInArrow(lean(minima), "id long, k long, least long"))
+    heads = keys.groupBy("k", "least").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"))
+    headed = cut(join_counted(keys, heads, ["k", "least"], "n", ["id"], keys.count()).select("id", "k", "a"))
     links = cut(_verified(headed.where(f"a <> id AND k < {COMPARED}").select("a", F.col("id").alias("b")).distinct(), sets))
     leads = headed.groupBy("id").agg(F.min("a").alias("lead"))
     named = leads.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("g"), "lead")
