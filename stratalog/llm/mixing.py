@@ -16,14 +16,17 @@ When a source has no block left a new phase begins: the weights of the others
 are scaled to sum to one. So every document is kept, once, and within each phase
 the deviation stays below one block.
 
-With more than MAX_SOURCES sources, those with a share of OWN_SHARE or more (so
-1 / OWN_SHARE at most) are scheduled like this, beside one that stands for all
-others together. Its blocks are theirs, ordered by ranges on (j - 1/2) / weight,
-the middle of block j's window; as long as the others last, each is within
-1 + (its weight / their mean weight) blocks of its part of what they are given.
-
-The driver holds one row per source (MAX_SOURCES at most) and the periods, at most
-one per source; what is broadcast is at most MAX_SOURCES ** 2 / 2 rows with SLOTS
+Sources with a share of OWN_SHARE or more (1 / OWN_SHARE at most) are scheduled like
+this, beside one unit that stands for all others together. The rule is the same for
+any number of sources. The unit's blocks are dealt to the others' octaves by the same
+schedule: an octave holds the sources whose share is at least 2 ** -k and below twice
+that (one octave all below 1 / SLOTS). Within it blocks are ordered by ranges on
+(j - 1/2) / weight, the middle of block j's window. But for the lowest octave, a weight is
+below twice its octave's mean, so as long as the others last, a source is within three
+blocks of its part of its octave and within five of its target.
+
+The driver holds one row per own source and per octave, and the periods, at most
+one per row; what is broadcast is at most (1 / OWN_SHARE) ** 2 rows with SLOTS
 numbers. Places within a source are numbered by
 ranges (see base.number_within), so a source with any share of the rows spreads
 over many tasks.
@@ -46,6 +49,7 @@ from stratalog.llm.base import cut, number_within, partitions
 
 BLOCK_SIZE = 65_536
 RESOLUTION, SLOTS = 1_000, 4_000_000
+#: No limit: more sources than this had a method of their own, now all have one.
 MAX_SOURCES = 1_000
 OWN_SHARE = 0.01
 #: Default targets: a source's share of characters to this power.
@@ -119,7 +123,6 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_size: int = BLO
     ``weights``: target weight of each source (None: share ** FLATTEN); a source
     it doesn't name gets the smallest of them.
     """
-    spark = docs.sparkSession
     size = F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
     # Sizes of rows that move together; only keys and sizes from here on.
     units = docs.select("doc_id", "source", size.alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
@@ -132,30 +135,26 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_size: int = BLO
     begun = inside.join(sums, inside["source"].eqNullSafe(sums["__s"]) & (inside["__part"] == sums["__p"]))
     begun = cut(begun.select("doc_id", "source", "size", "place", F.expr(f"(__before + __in) div {block_size}").alias("block")))
 
-    rows = begun.groupBy("source").agg(F.sum("size").alias("size"), (F.max("block") + 1).alias("blocks")).limit(MAX_SOURCES + 1).collect()
-    key, at = "source", "block"
-    if len(rows) > MAX_SOURCES:
-        begun, shares, blocks = _grouped(begun, weights)
-        key, at, targets = "__unit", "__at", quantised(shares)
-    else:
-        if weights is None:
-            weights = {r["source"]: r["size"] ** FLATTEN for r in rows}
-        least = min(weights.values(), default=1)
-        targets = quantised({r["source"]: weights.get(r["source"], least) for r in rows})
-        blocks = {r["source"]: r["blocks"] for r in rows}
+    begun, targets, blocks = _units(begun, weights)
+    done = _slotted(begun, "__unit", "__at", targets, blocks)
+    return done.select("doc_id", "source", "size", "block", "phase", "slot", "place")
+
+
+def _slotted(rows: DataFrame, unit: str, at: str, targets: dict, blocks: dict) -> DataFrame:
+    """Add phase and slot of block number ``at`` of each row's ``unit``."""
     plan = [(k, p.number, p.first[k], p.first[k] + n, targets[k], p.length, p.start, p.slots[k]) for p in phases(targets, blocks) for k, n in p.blocks.items()]
     schema = "__s string, phase int, __first long, __end long, __weight long, __length long, __start long, __slots array<int>"
-    # At most MAX_SOURCES rows for a source; their arrays sum to RESOLUTION a phase.
-    table = F.broadcast(spark.createDataFrame(plan, schema))
-    here = begun[key].eqNullSafe(table["__s"]) & (begun[at] >= table["__first"]) & (begun[at] < table["__end"])
+    # A row for each unit and phase; their arrays sum to a period a phase.
+    table = F.broadcast(rows.sparkSession.createDataFrame(plan, schema))
+    here = (rows[unit] == table["__s"]) & (rows[at] >= table["__first"]) & (rows[at] < table["__end"])
     nth = F.col(at) - F.col("__first")
     slot = F.col("__start") + F.expr(f"({at} - __first) div __weight") * F.col("__length") + F.get("__slots", (nth % F.col("__weight")).cast("int"))
-    return begun.join(table, here).select("doc_id", "source", "size", "block", "phase", slot.cast("long").alias("slot"), "place")
+    return rows.join(table, here).select(*rows.columns, "phase", slot.cast("long").alias("slot"))
 
 
-def _grouped(begun: DataFrame, weights: dict | None) -> tuple[DataFrame, dict, dict]:
+def _units(begun: DataFrame, weights: dict | None) -> tuple[DataFrame, dict, dict]:
     """begun with __unit (an own source's number, or 'rest') and __at (the block's
-    place in the unit), each unit's share and its number of blocks."""
+    place in the unit), each unit's weight and its number of blocks."""
     spark = begun.sparkSession
     per = begun.groupBy("source").agg(F.sum("size").alias("size"), (F.max("block") + 1).alias("blocks"))
     if weights is None:
@@ -164,23 +163,32 @@ def _grouped(begun: DataFrame, weights: dict | None) -> tuple[DataFrame, dict, d
         given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "__w string, weight double")
         per = per.join(given, per["source"].eqNullSafe(given["__w"]), "left").fillna(float(min(weights.values(), default=1)), ["weight"])
     per = cut(per.select("source", "blocks", "weight"))
-    total = per.agg(F.sum("weight")).first()[0]
-    is_own = (F.col("weight") >= OWN_SHARE * total) & (F.col("weight") > 0)
-    own = sorted(per.where(is_own).collect(), key=lambda r: (-r["weight"], r["source"] is not None, r["source"] or ""))
-    rest = per.where(~is_own)
-    n, share = rest.agg(F.sum("blocks"), F.sum("weight")).first()
-    shares = {str(i): r["weight"] for i, r in enumerate(own)} | {"rest": share or 0.0}
-    blocks = {str(i): r["blocks"] for i, r in enumerate(own)} | {"rest": n or 0}
-    # A source of weight 0 comes after all others.
-    each = rest.select("source", F.greatest("weight", F.lit(1e-9)).alias("weight"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    each = each.select("source", "block", ((F.col("block") + 0.5) / F.col("weight")).alias("middle"))
-    placed = number_within(each, [], ["middle", "source", "block"], "__at")
-    placed = placed.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "__at")
-    names = F.broadcast(spark.createDataFrame([(r["source"], str(i)) for i, r in enumerate(own)], "__s string, __unit string"))
-    alone = begun.join(names, begun["source"].eqNullSafe(names["__s"])).select(begun["*"], "__unit", F.col("block").alias("__at"))
-    others = begun.join(names, begun["source"].eqNullSafe(names["__s"]), "left_anti")
+    # Sums of decimals don't depend on the order of the rows.
+    top = per.agg(F.max("weight")).first()[0] or 1.0
+    part = F.sum((F.col("weight") / F.lit(top)).cast("decimal(28,18)"))
+    share = F.col("weight") / F.lit(top) / F.lit(float(per.agg(part).first()[0] or 1))
+    is_own = share >= OWN_SHARE
+    own = sorted(per.where(is_own).collect(), key=lambda r: (str(r["source"]), r["source"] is not None))
+    names = {r["source"]: f"{i:03d}" for i, r in enumerate(own)}
+    shares, blocks = {names[r["source"]]: r["weight"] for r in own}, {names[r["source"]]: r["blocks"] for r in own}
+    units = F.broadcast(spark.createDataFrame(list(names.items()), "__s string, __unit string"))
+    alone = begun.join(units, begun["source"].eqNullSafe(units["__s"])).select(begun["*"], "__unit", F.col("block").alias("__at"))
+
+    # A share of 0 has no logarithm and is in the lowest octave.
+    octave = F.greatest(F.floor(F.log2(share)), F.lit(-SLOTS.bit_length()).cast("long"))
+    rest = per.where(~is_own).select("source", "blocks", "weight", F.lpad((-octave).cast("string"), 2, "0").alias("__octave"))
+    octaves = {r["__octave"]: r for r in rest.groupBy("__octave").agg(F.sum("blocks").alias("blocks"), part.alias("part")).collect()}
+    if not octaves:
+        return alone, quantised(shares), blocks
+    inner = {k: float(r["part"]) * top for k, r in sorted(octaves.items())}
+    shares["rest"], blocks["rest"] = sum(inner.values()), sum(r["blocks"] for r in octaves.values())
+    each = rest.select("source", "__octave", F.greatest("weight", F.lit(1e-9)).alias("weight"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    each = each.select("source", "__octave", "block", ((F.col("block") + 0.5) / F.col("weight")).alias("middle"))
+    placed = _slotted(number_within(each, ["__octave"], ["middle", "source", "block"], "__nth"), "__octave", "__nth", quantised(inner), {k: r["blocks"] for k, r in octaves.items()})
+    placed = placed.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("slot").alias("__at"))
+    others = begun.join(units, begun["source"].eqNullSafe(units["__s"]), "left_anti")
     others = others.join(placed, others["source"].eqNullSafe(placed["__s"]) & (others["block"] == placed["__b"]))
-    return alone.unionByName(others.select(begun.columns + [F.lit("rest").alias("__unit"), "__at"])), shares, blocks
+    return alone.unionByName(others.select(*begun.columns, F.lit("rest").alias("__unit"), "__at")), quantised(shares), blocks
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:

@@ -130,3 +130,23 @@ def test_small_targets_are_not_rounded_up():
     assert abs(plan[0].blocks["c"] - 1e-5 * drawn) < 1
     # The driver's work is bounded whatever the weights.
     assert sum(mixing.quantised({i: 1.0 if i else 1e-12 for i in range(500)}).values()) <= mixing.SLOTS / 500 + 500
+
+
+@pytest.mark.parametrize("small", [50, 900, 2000])
+def test_one_rule_for_any_number_of_sources(spark, monkeypatch, small):
+    # All sources end together, so all keep to their targets from end to end: "mid" is
+    # below OWN_SHARE, and far above the mean of those that are.
+    blocks = {f"s{i}": 1 for i in range(small)} | {"big": small // 8, "mid": small // 100, None: 1}
+    rows = [(i, s, "t" * 10) for s, n in blocks.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.schedule(df, {s: float(n) for s, n in blocks.items() if n}, 10).collect()
+    at = {r["slot"]: r["source"] for r in got}
+    assert sorted(at) == list(range(len(rows))) and Counter(at.values()) == Counter(s for _, s, _ in rows)
+    for s in ("big", "mid", "s0", f"s{small - 1}", None):
+        given = 0
+        for t in range(len(rows)):
+            given += at[t] == s
+            assert abs(given - blocks[s] * (t + 1) / len(rows)) < 5
+    # Nothing changes at a number of sources.
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 20)
+    assert sorted(map(str, mixing.schedule(df, {s: float(n) for s, n in blocks.items() if n}, 10).collect())) == sorted(map(str, got))
