@@ -11,7 +11,11 @@ writes each result as Parquet in the shared folder and reads it again.
    doc_id stays (a null comes last; of rows that share it, the first by hash of the
    text). Groups are of rows, so rows that share a doc_id but no text all stay.
 4. mixing: the rows in mixed order, as they are to be read.
-5. best-fit packing: the pieces and their places in training sequences.
+5. best-fit packing: the pieces and their places in training sequences, which in
+   ascending sequence_id follow the mixed order as far as the packing allows.
+
+A table's rows have the order of its files' names (their numbers) and, in a file, of
+its rows; stage 4 writes the mixed order so, and stage 5 reads it so.
 
 Nulls, empty texts and tables, ties and clashing column names have the results
 that the operators define.
@@ -55,7 +59,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    # Where a row stands in the written mixture.
+    at = docs.metadataColumn("_metadata")
+    name = at.getField("file_name")
+    order = F.struct(F.length(name).alias("digits"), name.alias("file"), at.getField("row_index").alias("row"))
+    return packing.pack_documents(docs, order=order).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [

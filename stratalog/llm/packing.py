@@ -15,6 +15,12 @@
    each looks its sequence and offset up in the plan, whose size is bounded by
    the number of configurations.
 
+With ``order`` (a column that rises in the order the documents are to be read in),
+sequences in ascending sequence_id keep to it as far as a plan of so few sequences
+can: a configuration's sequences are dealt evenly over the whole, the pieces of each
+length fill their places there in the documents' order, and sequences are numbered
+by the mean place of their tokens in it.
+
 Defined results: a null or empty text is its end id alone, one piece of length
 1; rows that share a doc_id are packed each for itself; an empty table gives an
 empty table. Columns other than doc_id and text aren't read.
@@ -28,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.base import cut, drop_table, lean, number_within
+from stratalog.llm.base import cut, drop_table, lean, number_within, partitions
 from stratalog.llm.tokens import tokenizer
 
 CAPACITY = 2048
@@ -45,27 +51,32 @@ RATE, BONUS = 0.2, 0.2
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id: int = 0, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, packed unsigned 32-bit)."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id: int = 0, tokenizer_path: str | None = None, with_ids: bool = False, order: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, packed unsigned 32-bit; and
+    __order)."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if order is None else [order.alias("__order")]))
+    kept = [f"__order {f.dataType.simpleString()}" for f in read.schema.fields[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(kind, tokenizer_path)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                rows = []
-                keys, texts = (c[a : a + 512].to_pylist() for c in batch.columns)
-                for key, packed in zip(keys, tok.encode([t or "" for t in texts])):
+                rows, of = [], []
+                keys, texts = (c[a : a + 512].to_pylist() for c in batch.columns[:2])
+                for k, (key, packed) in enumerate(zip(keys, tok.encode([t or "" for t in texts]))):
                     ids = np.append(np.frombuffer(packed, tok.code), end_id).astype("<u4")
                     first = len(ids) % capacity or capacity
                     for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
                         start = max(0, end - capacity) if piece else 0
                         part = ids[start:end].tobytes()
                         rows.append((key, piece, start, end - start, zlib.crc32(part), part)[: len(names)])
+                        of.append(a + k)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                places = [c.take(pa.array(of, pa.int64())) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), *places], names + ["__order"] * len(places))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return read.mapInArrow(lean(run), ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, *kept]))
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> Plan:
@@ -202,14 +213,48 @@ def _places(plan: Plan) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+def _spread(spark: SparkSession, plan: Plan) -> DataFrame:
+    """length, sequence_id, offset of every place in the plan's sequences. Use i of n
+    of a configuration stands at (i + u) / n of the whole; ids rise with that. u differs
+    between configurations (256 u: golden ratio), or those used once would all meet."""
+    uses = np.array([n for _, n in plan], np.int64)
+    sizes = np.array([len(held) for held, _ in plan], np.int64)
+    lengths = np.array([x for held, _ in plan for x in held], np.int64)
+    offsets = np.array([x for held, _ in plan for x in np.cumsum((0, *held[:-1])).tolist()], np.int64)
+    ends, firsts, total = np.cumsum(uses), np.cumsum(sizes) - sizes, int(uses.sum())
+    shift = ((np.arange(len(uses)) + 1) * 0.6180339887498949 % 1 * 256).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                number = batch.column(0)[a : a + 64].to_numpy()
+                which = np.searchsorted(ends, number, side="right")
+                ids = (256 * (number - ends[which] + uses[which]) + shift[which]) * total // (256 * uses[which]) * len(uses) + which
+                n = sizes[which]
+                at = np.repeat(firsts[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(lengths[at]), pa.array(np.repeat(ids, n)), pa.array(offsets[at])], ["length", "sequence_id", "offset"])
+
+    return spark.range(0, total, 1, partitions(spark)).mapInArrow(lean(run), "length long, sequence_id long, offset long")
+
+
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (any columns; ``length`` <= capacity).
+    """Add sequence_id and offset to pieces (any columns; ``length`` <= capacity), in
+    the order of __order if there is one.
 
     ``cut_pieces`` is read twice; give a written table.
     """
     demand = np.zeros(capacity + 1, np.int64)
     for row in cut_pieces.groupBy("length").count().collect():  # at most `capacity` rows
         demand[row["length"]] = row["count"]
+    if "__order" in cut_pieces.columns:
+        places = number_within(_spread(cut_pieces.sparkSession, solve(demand, capacity)), ["length"], ["sequence_id", "offset"], "__n")
+        ordered = number_within(cut_pieces, [], ["__order", "piece"], "__nth").drop("__order")
+        numbered = number_within(ordered, ["length"], ["__nth"], "__number")
+        here = (numbered["length"] == places["length"]) & (numbered["__number"] == places["__n"])
+        put = cut(numbered.join(places, here).select(*(numbered[c] for c in ordered.columns), F.col("sequence_id").alias("__s"), "offset"))
+        mean = F.sum(F.col("__nth") * F.col("length")) / F.sum("length")
+        ranked = number_within(put.groupBy("__s").agg(mean.alias("__mean")), [], ["__mean", "__s"], "sequence_id")
+        return put.join(ranked.select("__s", "sequence_id"), "__s").select(*(c for c in cut_pieces.columns if c != "__order"), "sequence_id", "offset")
     table = _places(solve(demand, capacity))
     numbered = number_within(cut_pieces, ["length"], ["doc_id", "piece"], "__number")
     schema = numbered.schema
@@ -228,9 +273,9 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(lean(run), f"{kept}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id: int = 0, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, kind: str = "byte", end_id: int = 0, tokenizer_path: str | None = None, with_ids: bool = False, order: Column | None = None) -> DataFrame:
     """Pieces of all documents with their places."""
-    written = cut(pieces(docs, capacity, kind, end_id, tokenizer_path, with_ids))
+    written = cut(pieces(docs, capacity, kind, end_id, tokenizer_path, with_ids, order))
     packed = pack(written, capacity)
     drop_table(written)
     return packed

@@ -124,3 +124,32 @@ def test_groups_are_of_rows_and_not_of_ids(spark):
     tok = ChunkTokenizer("byte")
     want = sum(len(tok.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in got)
     assert sum(r["length"] for r in corpus_pipeline.packed(spark, mixed, "").collect()) == want
+
+
+def test_sequences_follow_the_mixed_order(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices(["the", "Ergebnis", "x1!"], k=rng.choice([5, 20, 60, 700, 1500])))) for i in range(600)]
+    for seed in (1, 2):
+        mixture = random.Random(seed).sample(texts, len(texts))
+        at = {d: i for i, (d, _) in enumerate(mixture)}
+        df = spark.createDataFrame([(*r, "en", "s", 0, i) for i, r in enumerate(mixture)], SCHEMA + ", nth int")
+        written = corpus_pipeline.cut(df.repartitionByRange(7, "nth").sortWithinPartitions("nth"))
+        got = corpus_pipeline.packed(spark, written, "").collect()
+        places = {}
+        for r in got:
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for v in places.values():
+            assert [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] and sum(n for _, n in v) <= packing.CAPACITY
+        # As few sequences as without an order.
+        plain = packing.pack_documents(df).collect()
+        assert len(places) == len({r["sequence_id"] for r in plain})
+        key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+        assert sorted(map(key, got)) == sorted(map(key, plain))
+        # Sequences have the order of their tokens' mean places, and all stand near theirs.
+        order = {(r["doc_id"], r["piece"]): k for k, r in enumerate(sorted(got, key=lambda r: (at[r["doc_id"]], r["piece"])))}
+        means = {s: 0 for s in sorted(places)}
+        for r in got:
+            means[r["sequence_id"]] += order[r["doc_id"], r["piece"]] * r["length"] / sum(n for _, n in places[r["sequence_id"]])
+        assert list(means) == list(range(len(means))) and all(x <= y + 1e-6 for x, y in zip(list(means.values()), list(means.values())[1:]))
+        off = [abs(r["sequence_id"] / len(places) - order[r["doc_id"], r["piece"]] / len(got)) for r in got]
+        assert sum(off) / len(off) < 0.2  # 0.33 by chance
