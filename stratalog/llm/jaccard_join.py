@@ -441,7 +441,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # classes that one repeated doc_id belongs to.
     copies = rows.join(classes.where("rep <> top"), ["d1", "d2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     across = _across(sets, groups)
-    found = components(links.union(across).union(copies))
+    # The groups are the components of the links among them: stars already.
+    stars = groups.select(F.col("g").alias("a"), F.col("id").alias("b"))
+    found = components(stars.union(across).union(copies))
     # What is left reads rows and components only.
     for table in (sets, groups, links, across, classes):
         drop_table(table)

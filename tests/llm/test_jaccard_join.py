@@ -104,3 +104,18 @@ def test_components_of_chains_and_stars(spark):
     links = list(zip(ids[:60], ids[1:60])) + [(ids[60], x) for x in ids[61:100]] + [(ids[100], ids[100])]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: min(ids[:60]) for x in ids[:60]} | {x: min(ids[60:100]) for x in ids[60:100]}
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    from stratalog.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: written.append(1) or cut(df))
+    stars = [(i % 5, i) for i in range(5, 60)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame([(b, a) for a, b in stars], "a long, b long")).collect()}
+    assert got == {i: i % 5 for i in range(60)} and len(written) == 1
+    # A link between two stars, one from a centre to a smaller id, and a chain.
+    links = [*((a + 100, b + 100) for a, b in stars), (107, 108), (0, 100), (201, 202), (202, 203), (203, 204)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {i + 100: {0: 0, 3: 102}.get(i % 5, 100 + i % 5) for i in range(60)} | {0: 0} | dict.fromkeys(range(201, 205), 201)
+    assert got == want
