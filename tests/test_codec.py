@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +142,73 @@ def test_blocks_split_a_hot_series(spark):
         assert encoded.where("g = 0").count() == -(-100 // size)
         bits_ = {r["g"]: r["n"] for r in encoded.groupBy("g").sum("n_bits").withColumnRenamed("sum(n_bits)", "n").collect()}
         assert bits_ == {r["g"]: r["n_bits"] for r in codec.encoded_sizes(df, ["g"], "i").collect()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-(2**60), 2**60) | st.integers(-70, 70), min_size=1, max_size=9), min_size=1, max_size=40), st.integers(-(2**50), 2**50))
+def test_many_streams_equal_single_ones(series, start):
+    counts = np.array([len(s) for s in series])
+    last, delta = np.full(len(series), start), np.full(len(series), -start)
+    flat = np.array([v for s in series for v in s], np.int64)
+    words, first, n_bits, _ = codec.encode_many(flat, np.cumsum(counts) - counts, last, delta)
+    raw, edges = words.astype(">u8").tobytes(), [*(8 * first).tolist(), 8 * len(words)]
+    want = [codec.encode(s, start, -start) for s in series]
+    assert [(raw[a:b], n, len(s)) for a, b, n, s in zip(edges, edges[1:], n_bits.tolist(), series, strict=False)] == want
+    assert codec.decode_many([w[0] for w in want], counts, last, delta).tolist() == flat.tolist()
+
+
+def test_many_streams_errors():
+    zero, one = np.array([0]), np.array([1])
+    for bad in ([-(2**63)], [2**62, -(2**62) - 1], [2**62, -(2**62), 2**62]):
+        with pytest.raises(OverflowError):
+            codec.encode(bad)
+        with pytest.raises(OverflowError):
+            codec.encode_many(np.array(bad), zero, zero, zero)
+    many = lambda stream, n: codec.decode_many([stream] * 20, np.full(20, n), np.zeros(20, int), np.zeros(20, int))
+    assert many(codec.encode([5, 10, 15])[0], 6).tolist() == [5, 10, 15, 20, 25, 30] * 20
+    for error, stream, n in ((ValueError, b"", 1), (ValueError, b"\xff" * 8, 1), (EOFError, bytes(8), 65), (OverflowError, codec.encode([2**62])[0], 3)):
+        with pytest.raises(error):
+            many(stream, n)
+    with pytest.raises(EOFError):
+        codec.decode_many([bytes(8)], 65 * one, zero, zero)
+    assert codec.decode_many([], *[np.zeros(0, int)] * 3).tolist() == []
+
+
+@pytest.mark.parametrize("batch", [1, 3, 64])
+def test_series_that_go_on_over_batches(spark, batch):
+    rng = random.Random(batch)
+    series = {k: [rng.choice([0, rng.randrange(-(2 ** rng.randrange(1, 60)), 2**59)]) for _ in range(n)] for k, n in ((None, 9), ("", 1), ("a", 64), ("b", 5), ("c", 200))}
+    df = spark.createDataFrame([(k, i, v) for k, values in series.items() for i, v in enumerate(values)], "k string, i long, value long").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        encoded = codec.encode_series(df, ["k"], "i")
+        assert {r["k"]: (bytes(r["payload"]), r["n_bits"], r["n"]) for r in encoded.collect()} == {k: codec.encode(v) for k, v in series.items()}
+        want = sorted((repr(k), i, v) for k, values in series.items() for i, v in enumerate(values))
+        assert sorted((repr(k), i, v) for k, i, v in codec.decode_series(encoded, ["k"]).collect()) == want
+        blocks = codec.encode_blocks(df, ["k"], "i", size=7)
+        assert sorted((repr(k), i, v) for k, i, v in codec.decode_blocks(blocks, ["k"], size=7).collect()) == want
+        for r in blocks.collect():
+            own = series[r["k"]][7 * r["block"] : 7 * r["block"] + 7]
+            assert (bytes(r["payload"]), r["n_bits"], r["n"]) == codec.encode(own, r["last"], r["delta"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_null_values_are_an_error(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 1, None)], "g long, i long, value long")
+    with pytest.raises(Exception, match="a value is null"):
+        codec.encode_series(df, ["g"], "i").collect()
+
+
+def test_many_small_blocks_cost_no_call_each(spark):
+    import time
+
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("g"), F.col("id").alias("i"), (F.col("id") * 3).alias("value"))
+    encoded = codec.encode_blocks(df, ["g"], "i", size=2)
+    began = time.perf_counter()
+    got = codec.decode_blocks(encoded, ["g"], size=2).agg(F.count(F.lit(1)), F.sum("value"), F.sum("i")).first()
+    assert tuple(got) == (60_000, 3 * sum(range(60_000)), 60_000)
+    assert time.perf_counter() - began < 20  # 40,000 blocks: minutes with a call of Python for each
+    for coded in (encoded, codec.encode_series(df, ["g"], "i")):
+        assert "FlatMapGroups" not in coded._jdf.queryExecution().executedPlan().toString()
